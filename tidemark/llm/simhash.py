@@ -56,8 +56,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 def close(block: list[np.ndarray], other: list[np.ndarray] | None, most: int) -> list[tuple[int, int]]:
     """Links that connect what differs in at most `most` bits, within a block or across two."""
-    a = block[0]
-    b = a if other is None else other[0]
+    a = block[0].view(np.uint64)
+    b = a if other is None else other[0].view(np.uint64)
     near = np.bitwise_count(a[:, None] ^ b[None, :]) <= most
     if other is None:
         if len(a) == 2:
