@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, packing, quality, secrets, simhash
+from . import bpe, embeddings, packing, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_pack": packing.op2_pack,
     "op4_simhash": simhash.op4_simhash,
     "op7_secrets": secrets.op7_secrets,
+    "op9_substring": substring.op9_substring,
     "op10_quality": quality.op10_quality,
     "op6_embeddings": embeddings.op6_embeddings,
 }
