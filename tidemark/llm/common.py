@@ -240,3 +240,14 @@ def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def groups_by_file(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[tuple[str, list[int], list[int]]]:
+    """File name, offsets and lengths of sorted rows (file, offset, length), at most `most` at a time."""
+    for b in batches:
+        names, offsets, lengths = (b.column(i).to_pylist() for i in range(3))
+        s = 0
+        for e in range(1, len(names) + 1):
+            if e == len(names) or names[e] != names[s] or e - s >= most:
+                yield names[s], offsets[s:e], lengths[s:e]
+                s = e

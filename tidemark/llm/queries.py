@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, packing, quality, secrets, simhash, substring
+from . import bpe, counts, embeddings, packing, quality, secrets, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_pack": packing.op2_pack,
+    "op3_token_counts": counts.op3_token_counts,
+    "op8_warc": warc.op8_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op4_simhash": simhash.op4_simhash,
     "op7_secrets": secrets.op7_secrets,
     "op9_substring": substring.op9_substring,
