@@ -300,8 +300,8 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rate = rows.agg(F.avg("y")).collect()[0][0]
     rows = [rows.where(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(SAMPLE) for v in (0, 1)]
     rows = rows[0].union(rows[1])
-    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= 40_000).join(F.broadcast(rows), "k")  # 2 * SAMPLE ids
-    got = got.orderBy(F.xxhash64("k"), "k").limit(4 * SAMPLE).collect()  # whole texts, at most 40,000 characters each
+    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= 12_000).join(F.broadcast(rows), "k")  # 2 * SAMPLE ids
+    got = got.orderBy(F.xxhash64("k"), "k").limit(4 * SAMPLE).collect()  # whole texts, at most 12,000 characters each
     texts, ys, n = [], [], 0
     for r in got:
         n += (r.t or "").count(" ") + 1
