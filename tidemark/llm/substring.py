@@ -207,7 +207,8 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
             )
 
     wanted = colliding.select("h").distinct()
-    where = units.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("key").alias("key"))
+    # grouped before it is joined, as one paragraph may have a third of all rows
+    where = units.groupBy("h").agg(F.min("key").alias("key")).join(wanted, "h")
     of = source.join(where.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
     of = staged(of.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingles")
 
