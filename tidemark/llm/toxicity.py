@@ -72,7 +72,7 @@ class Network:
                 n[int(label), list(b)] += 1
             total = np.maximum(1, np.bincount(y.astype(int), minlength=2))
             odds = np.log((n[1] + 0.3) / (total[1] + 0.6)) - np.log((n[0] + 0.3) / (total[0] + 0.6))
-            odds[(n[0] + n[1]) < 2] = 0
+            odds *= (n[0] + n[1]) / (n[0] + n[1] + 4)  # few texts say little
             setattr(self, table, np.clip(odds / 3, -1, 2).astype(np.float32))
 
     def inputs(self, word: str) -> tuple[int, list[int]]:
@@ -284,9 +284,9 @@ def train(texts: list[str | None], labels: list[int], rate: float | None = None,
                 m[1] += 0.01 * (v * v - m[1])
                 net.p[k] -= (0.01 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
             wb = np.array([w for w, _ in info])
-            np.add.at(net.p["ew"], wb, -0.5 * dv[:, :EMBED])
+            np.add.at(net.p["ew"], wb, -0.1 * dv[:, :EMBED])
             sizes = np.array([len(x) for _, x in info])
-            np.add.at(net.p["eg"], np.concatenate([np.array(x) for _, x in info]), np.repeat(-0.5 * dv[:, EMBED : 2 * EMBED] / sizes[:, None], sizes, axis=0))
+            np.add.at(net.p["eg"], np.concatenate([np.array(x) for _, x in info]), np.repeat(-0.1 * dv[:, EMBED : 2 * EMBED] / sizes[:, None], sizes, axis=0))
     if rate is not None and 0 < y.mean() < 1:
         odds = lambda v: np.log(v / (1 - v))
         net.p["ob"] += np.float32(odds(min(max(rate, 1e-3), 0.999)) - odds(float(y.mean())))
