@@ -1,0 +1 @@
+from . import handoff  # noqa: F401  (its queries join the registry)
