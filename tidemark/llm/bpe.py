@@ -276,32 +276,24 @@ class Codec:
                 rows.append((p,))
             else:  # each space goes with what follows; the first chunk has none
                 rows.append(p.replace("\n", " \n").split(" "))
-        get, lists, missing = known.get, [], set()
-        for r in rows:
-            if isinstance(r, bytes):
-                lists.append([r])
-                continue
-            if not self.words and r[0][:1] != "\n":
-                r = [("", r[0]), *r[1:]] if isinstance(r, list) else [("", r[0])]
-            got = list(map(get, r))
-            if None in got:
-                missing.update([c for c, x in zip(r, got, strict=True) if x is None])
-            lists.append((r, got))
+        if not self.words:
+            rows = [r if isinstance(r, bytes) or r[0][:1] == "\n" else [("", r[0]), *r[1:]] for r in rows]
+        missing = set().union(*[r for r in rows if not isinstance(r, bytes)]).difference(known)
         if missing:
-            new = self._chunks(list(missing))
-            total = sum(len(x[1]) for x in lists if isinstance(x, tuple))
-            if len(missing) > 0.5 * total and len(known) >= CACHED:
-                known.clear()
-            for k, x in enumerate(lists):
-                if isinstance(x, tuple):
-                    lists[k] = [new[c] if v is None else v for c, v in zip(*x, strict=True)] if None in x[1] else x[1]
-            if len(known) < CACHED:
-                known.update((c, v) for c, v in new.items() if isinstance(c, str) and len(c) <= CACHED_CHARS)
-        else:
-            lists = [x if isinstance(x, list) else x[1] for x in lists]
+            known.update(self._chunks(list(missing)))
         out: list[list[bytes]] = [[] for _ in texts]
-        for i, x in zip(owner, lists, strict=True):
-            out[i] += x
+        for i, r in zip(owner, rows, strict=True):
+            if isinstance(r, bytes):
+                out[i].append(r)
+            else:
+                out[i].extend(map(known.__getitem__, r))
+        full = len(known) - len(missing) >= CACHED
+        if full and 2 * len(missing) > sum(len(r) for r in rows if not isinstance(r, bytes)):
+            known.clear()
+        elif missing:
+            for c in missing:
+                if full or not isinstance(c, str) or len(c) > CACHED_CHARS:
+                    del known[c]
         return [b"".join(x) for x in out]
 
     def _chunks(self, chunks: list) -> dict:
