@@ -300,6 +300,10 @@ class Codec:
         """Packed ids of chunks; a pair ("", text) is the start of a text, which no space precedes."""
         tokens, sizes = [], []
         for c in chunks:
+            if isinstance(c, str) and c.isascii() and c.isalpha():  # most words: one pre-token
+                tokens.append((c.lower() if self.words else " " + c).encode())
+                sizes.append(1)
+                continue
             if self.words:
                 t = self.pretokens(c)
             elif isinstance(c, tuple):
