@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of which an earlier copy stays; a text of nothing else goes."""
-    found = staged(substring.duplicates(docs.select("doc_id", "text")), "repeats")
+    found = staged(substring.passages(docs.select("doc_id", "text")), "repeats")
     cut = substring.removed(docs.select(*COLUMNS), found)
     return cut.where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("n_chars", F.length("text").cast("long"))
 

@@ -327,6 +327,45 @@ def test_repeated_passages(spark):
     assert passage.split(". ")[2] in cut[30] and passage.split(". ")[2] not in cut[31] and cut[5] == rows[5] and cut[len(rows) - 3] is None
 
 
+def test_equal_runs_are_found_whole_whatever_their_sentences(spark):
+    r = random.Random(11)
+    words = lambda n: [WORDS[r.randrange(len(WORDS))] + str(r.randint(0, 999)) for _ in range(n)]
+    short = ". ".join(" ".join(words(3)) for _ in range(20)) + "."
+    lines = "\n".join(" ".join(words(4)) for _ in range(15))
+    inner, mixed_ = " ".join(words(51)), " ".join(words(30)) + ". Yes. No. " + " ".join(words(25))
+    parts = [short, lines, inner, mixed_]
+    rows = [" ".join(words(40)) + " " + p + " " + " ".join(words(40)) for p in parts for _ in range(3)]
+    rows += [" ".join(words(30)) + " " + " ".join(words(50)) for _ in range(2)] + [" ".join(["one"] * 130)]
+    fifty = " ".join(words(50))
+    rows += [" ".join(words(20)) + " " + fifty + " " + " ".join(words(20)) for _ in range(2)]
+    rows += [" ".join(words(130))] * 3 + [" ".join(words(41) * 4)]
+    df = frame(spark, list(enumerate(rows)))
+    got = {(x.doc_id, x.start, x.end, x.n_words, x.component_id, x.kept) for x in substring.runs(df).collect()}
+    want = set()
+    for i, p in enumerate(parts):
+        for k in range(3):
+            at = rows[3 * i + k].index(p)
+            want.add((3 * i + k, at, at + len(p), len(p.split()), 3 * i, k == 0))
+    one = 3 * len(parts) + 2
+    want |= {(one, 0, 51 * 4 - 1, 51, one, True), (one, 51 * 4, 130 * 4 - 1, 79, one, False)}
+    want |= {(k, 0, len(rows[k]), 130, one + 3, k == one + 3) for k in range(one + 3, one + 6)}
+    # the last text repeats itself after 41 words: what does not overlap its own first place goes
+    assert {x for x in got if x[0] < one + 6} == want
+    assert {x[5] for x in got if x[0] == one + 6} == {True, False}
+    cut = {x.doc_id: x.text for x in substring.removed(df, substring.passages(df)).collect()}
+    assert all((p in cut[3 * i + k]) == (k == 0) for i, p in enumerate(parts) for k in range(3))
+    assert substring.runs(df.limit(0)).count() == 0
+
+
+def test_short_and_very_long_sentences_have_paragraphs():
+    r = random.Random(12)
+    words = lambda n: " ".join(WORDS[r.randrange(len(WORDS))] + str(r.randint(0, 999)) for _ in range(n))
+    for t in (". ".join(words(3) for _ in range(30)) + ".", "\n".join(words(2) for _ in range(40)), words(500), "one " * 300):
+        p = substring.paragraphs([t, t])
+        assert p["n_words"].sum() == 2 * len(t.split()) and len(p["h"]) > 2
+        assert p["n_words"].min() >= substring.LEAST and (p["size"] > 0).all() and p["n_words"].max() <= 80
+
+
 def test_bands_reach_the_recall():
     b = substring.bands(0.8, 0.98, 2)
     assert 1 - (1 - 0.8**2) ** b >= 0.98 > 1 - (1 - 0.8**2) ** (b - 1)

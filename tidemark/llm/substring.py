@@ -1,9 +1,14 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup by paragraph MinHash banding, and by equal runs of words.
 
 A paragraph ends at a line feed or a sentence end, so that a passage has the same paragraphs wherever it
-is put in. Their five-word shingles are MinHashed into bands tuned for the recall asked for, colliding
+is put in; neighbouring short sentences are joined and very long ones divided where their words say so.
+Their five-word shingles are MinHashed into bands tuned for the recall asked for, colliding
 paragraphs are joined, candidates verified by exact Jaccard similarity of their shingle sets, and each
 component of equal or similar paragraphs keeps its first one.
+
+Equal runs of RUN words or more are found whatever their sentences, and to their true ends: a window of
+RUN words is looked up only if the smallest hash of its GRAM-word pieces occurs twice, and windows that
+occur elsewhere are merged.
 """
 
 from __future__ import annotations
@@ -13,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_links, components, parts, staged, with_last
+from .common import bucket_links, components, dropped, parts, staged, with_last
 
 #: Words of a shingle, words that a paragraph has at least, and the similarity of copies.
 WORDS, LEAST, SIMILAR = 5, 8, 0.8
+#: Words at which joined short sentences are cut at the latest, and from which a sentence is divided.
+JOINED, LONG = 40, 64
+#: Words of an equal run at least, and of its pieces.
+RUN, GRAM = 51, 12
 #: Rows of a band, and the share of pairs at SIMILAR that the bands are to find.
 ROWS, RECALL = 2, 0.98
 #: Characters worked on at a time, and paragraph hashes that a task remembers to have sent keys for.
@@ -60,8 +69,8 @@ def hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
-    """Paragraphs of at least LEAST words: text, start, end (code points), n_words, h, and shingles with their starts.
+def worded(texts: list[str]) -> dict[str, np.ndarray]:
+    """Words of texts: text, start, end (code points of the text), h, and stop: whether a line or sentence ends there.
 
     Case of A-Z and the white space between words do not count.
     """
@@ -73,17 +82,76 @@ def paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return {k: none for k in ("text", "start", "end", "n_words", "h", "at", "size")} | {"shingles": none.astype(U)}
+        return {"text": none, "start": none, "end": none, "h": none.astype(U), "stop": none.astype(bool)}
     low = a.astype(U)
     low[(a >= 65) & (a <= 90)] += U(32)
-    words = hashed(low, starts, ends)
     last = a[ends - 1]
     line = np.cumsum(a == 10)[starts]
-    stop = (last == 46) | (last == 33) | (last == 63) | np.r_[line[1:] != line[:-1], True]
-    unit_end = np.flatnonzero(stop) + 1
-    unit_start = np.r_[0, unit_end[:-1]]
-    long_ = unit_end - unit_start >= LEAST
-    unit_start, unit_end = unit_start[long_], unit_end[long_]
+    text = np.searchsorted(first, starts, side="right") - 1
+    return {
+        "text": text,
+        "start": starts - first[text],
+        "end": ends - first[text],
+        "h": hashed(low, starts, ends),
+        "stop": (last == 46) | (last == 33) | (last == 63) | np.r_[line[1:] != line[:-1], True],
+    }
+
+
+def units(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of paragraphs: sentences, joined short ones, pieces of very long ones.
+
+    Only short sentences of under LEAST words in all that stand between longer ones, or alone in a text,
+    are in none; as parts of a longer passage the equal runs have them.
+    """
+    ends = np.flatnonzero(w["stop"]) + 1
+    cut = (w["h"] >> U(7)) % U(16) == 0
+    out: list[tuple[int, int]] = []
+    held = joins = at = -1  # start of the open join, whether it follows another one, its text
+    done = 0
+
+    def close(e: int) -> None:
+        nonlocal held
+        if held >= 0 and e - held >= LEAST:
+            out.append((held, e))
+        elif held >= 0 and joins and e > held:
+            out[-1] = (out[-1][0], e)
+        held = -1
+
+    for e, t, c in zip(ends.tolist(), w["text"][ends - 1].tolist(), (w["h"][ends - 1] >> U(7)) % U(2) == 0, strict=True):
+        s, done = done, e
+        if held >= 0 and (t != at or e - s >= LEAST):
+            close(s)
+        if e - s >= LEAST:
+            if e - s <= LONG:
+                out.append((s, e))
+                continue
+            low = s
+            for k in (np.flatnonzero(cut[s : e - 1]) + s + 1).tolist() + [e]:
+                while k - low > LONG + LEAST:  # no word says where: cut anyway
+                    out.append((low, low + LONG))
+                    low += LONG
+                if k - low >= 2 * LEAST and e - k >= LEAST or k == e:
+                    out.append((low, k))
+                    low = k
+            continue
+        if held < 0:
+            held, joins, at = s, False, t
+        if e - held >= LEAST and (c or e - held >= JOINED):
+            out.append((held, e))
+            held, joins = e, True
+    close(done)
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
+    """Paragraphs of at least LEAST words: text, start, end (code points), n_words, h, and shingles with their starts."""
+    w = worded(texts)
+    words = w["h"]
+    unit_start, unit_end = units(w)
+    none = np.zeros(0, np.int64)
+    if not len(unit_start):
+        return {k: none for k in ("text", "start", "end", "n_words", "h", "at", "size")} | {"shingles": none.astype(U)}
     size = unit_end - unit_start - WORDS + 1
     shingle = np.zeros(max(0, len(words) - WORDS + 1), U)
     for k in range(WORDS):
@@ -91,13 +159,12 @@ def paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
     shingle = mixed(shingle)
     at = np.cumsum(size) - size
     index = np.repeat(unit_start - at, size) + np.arange(int(size.sum()))
-    text = np.searchsorted(first, starts[unit_start], side="right") - 1
     return {
-        "text": text,
-        "start": starts[unit_start] - first[text],
-        "end": ends[unit_end - 1] - first[text],
+        "text": w["text"][unit_start],
+        "start": w["start"][unit_start],
+        "end": w["end"][unit_end - 1],
         "n_words": unit_end - unit_start,
-        "h": hashed(words, unit_start, unit_end).view(np.int64) if len(unit_start) else none,
+        "h": hashed(words, unit_start, unit_end).view(np.int64),
         "at": at,
         "size": size,
         "shingles": shingle[index],
@@ -170,7 +237,7 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
                 names=["key", "start", "end", "n_words", "h", "keys"],
             )
 
-    units = staged(source.mapInArrow(cut, "key long, start int, end int, n_words int, h long, keys array<long>"), "paragraph")
+    pieces = staged(source.mapInArrow(cut, "key long, start int, end int, n_words int, h long, keys array<long>"), "paragraph")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (bucket, h), once each, of the buckets with two or more h; sorted rows in, one row held."""
@@ -195,7 +262,7 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
             if more.any():
                 yield pa.RecordBatch.from_arrays([pa.array(k[more]), pa.array(h[more])], names=["bucket", "h"])
 
-    spread = units.where("keys is not null and size(keys) > 0").select(F.explode("keys").alias("bucket"), "h")
+    spread = pieces.where("keys is not null and size(keys) > 0").select(F.explode("keys").alias("bucket"), "h")
     colliding = staged(spread.repartition(n, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(shared, "bucket long, h long"), "band")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +275,7 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
 
     wanted = colliding.select("h").distinct()
     # grouped before it is joined, as one paragraph may have a third of all rows
-    where = units.groupBy("h").agg(F.min("key").alias("key")).join(wanted, "h")
+    where = pieces.groupBy("h").agg(F.min("key").alias("key")).join(wanted, "h")
     of = source.join(where.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
     of = staged(of.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingles")
 
@@ -239,12 +306,14 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
 
     found = bucket_links(colliding.withColumnRenamed("bucket", "key").join(of, "h").select("key", "h", "shingles"), "h", ["shingles"], similar)
     linked = components(found)
-    classes = units.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("low"))
+    classes = pieces.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("low"))
     classes = classes.join(linked, classes.h == linked.node, "left").where("n > 1 or component is not null")
     classes = staged(classes.select("h", "n", "low", F.coalesce("component", "h").alias("component")), "paragraph-class")
+    dropped(colliding)
+    dropped(of)
     whole = classes.groupBy("component").agg(F.sum("n").alias("copies"), F.min("low").alias("low"))
     named = classes.select("h", "component").join(whole, "component").select("h", "copies", "low")
-    out = units.select("key", "start", "end", "n_words", "h").join(named, "h")
+    out = pieces.select("key", "start", "end", "n_words", "h").join(named, "h")
     return out.select(
         F.col("key").alias(key),
         "start",
@@ -257,6 +326,137 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
     )
 
 
+def windows(texts: list[str]) -> dict[str, np.ndarray]:
+    """Windows of RUN words within a text: text, pos, start, end, h, and low, the least hash of their pieces."""
+    w = worded(texts)
+    n = len(w["h"]) - RUN + 1
+    if n <= 0:
+        return {k: np.zeros(0, np.int64) for k in ("text", "pos", "start", "end", "h", "low")}
+    at = np.arange(len(w["h"]) - GRAM + 1)
+    low = hashed(w["h"], at, at + GRAM)
+    span = 1
+    while span < RUN - GRAM + 1:
+        step = min(span, RUN - GRAM + 1 - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    at = np.flatnonzero(w["text"][:n] == w["text"][RUN - 1 :])
+    text = w["text"][at]
+    return {
+        "text": text,
+        "pos": at - np.searchsorted(w["text"], text),
+        "start": w["start"][at],
+        "end": w["end"][at + RUN - 1],
+        "h": hashed(w["h"], at, at + RUN).view(np.int64),
+        "low": low[at].view(np.int64),
+    }
+
+
+def stretches(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First windows and ends of the stretches with one least piece, and which repeat within their own width."""
+    low, text = w["low"], w["text"]
+    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (text[1:] != text[:-1])])
+    end = np.r_[first[1:], len(low)]
+    own = end - first > RUN - GRAM + 1  # longer than one piece can be the least of
+    by = np.lexsort((first, low[first], text[first]))
+    near = (low[first[by]][1:] == low[first[by]][:-1]) & (text[first[by]][1:] == text[first[by]][:-1]) & (np.diff(first[by]) < 2 * RUN)
+    own[by[1:][near]] = own[by[:-1][near]] = True
+    return first, end, own
+
+
+def runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Runs of words of which every RUN in a row occur elsewhere, in the columns of duplicates.
+
+    Equal words but for case and white space, from the first to the last word that two places share. A window
+    is kept where it is the first by (key, place), and left out where it overlaps its own first place; runs are
+    the maximal rows of windows that are kept, or that are not. component_id and component_start name the first
+    place of the run's beginning, or an earlier one, copies the most places that a window of it has.
+
+    Windows in a row with the same least piece are a stretch. Equal stretches are one class, and only if a
+    piece has several classes are the windows of each class's first stretch compared one by one.
+    """
+    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
+            w = windows(texts)
+            if not len(w["low"]):
+                continue
+            first, end, own = stretches(w)
+            # hashes of windows are those of the words, so that those of all windows name the stretch
+            whole = hashed(w["h"].view(U), first, end)
+            at = np.array([hash_of(t) for t in texts])[w["text"][first]]
+            whole[own] = mixed(whole[own] ^ mixed(at[own].view(U) + w["pos"][first[own]].astype(U)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()).take(pa.array(w["text"][first])),
+                    pa.array(at),
+                    *(pa.array(x.astype(np.int32)) for x in (w["pos"][first], end - first, w["start"][first], w["end"][end - 1])),
+                    pa.array(w["low"][first]),
+                    pa.array(whole.view(np.int64)),
+                    pa.array(own.astype(np.int64) + 1),
+                ],
+                names=["key", "of", "pos", "n", "start", "end", "low", "h", "weight"],
+            )
+
+    found = staged(source.mapInArrow(low, "key long, of long, pos int, n int, start int, end int, low long, h long, weight long"), "stretch")
+    again = found.groupBy("low").agg(F.sum("weight").alias("w")).where("w > 1").select("low")
+    rows = staged(found.join(again, "low").distinct(), "stretch-again")
+    dropped(found)
+    place = F.struct("key", "pos", "of", "start")
+    classes = rows.groupBy("low", "h").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max("weight").alias("weight"))
+    several = classes.groupBy("low").agg(F.count("*").alias("k"), F.max("weight").alias("own")).select("low", ((F.col("k") > 1) | (F.col("own") > 1)).alias("several"))
+    classes = staged(classes.join(several, "low").select("h", F.col("low").alias("l"), "copies", "first", "several"), "stretch-class")
+    of_class = rows.join(classes.where("several or copies > 1").withColumnRenamed("h", "ch"), (F.col("low") == F.col("l")) & (F.col("h") == F.col("ch")))
+    of_class = of_class.withColumn("is_first", F.col("first").eqNullSafe(place))
+    whole = of_class.where("not is_first or not several").select("key", "of", F.col("is_first").alias("kept"), "pos", "n", "start", "end", "first", "copies")
+    wanted = classes.where("several").select(F.col("first.key").alias("k"), F.struct(F.col("first.of").alias("of"), F.col("first.pos").alias("pos"), "copies").alias("x"))
+    wanted = wanted.groupBy("k").agg(F.collect_list("x").alias("xs"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t, xs in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("xs").to_pylist(), strict=True):
+                t = t or ""
+                w, of = windows([t]), int(hash_of(t))
+                copies = {x["pos"]: x["copies"] for x in xs if x["of"] == of}
+                if not copies:
+                    continue
+                first, end, _ = stretches(w)
+                n = np.array([copies.get(p, 0) for p in w["pos"][first].tolist()])
+                n = np.repeat(n, end - first)
+                some = n > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * int(some.sum()), pa.int64()), pa.array(np.full(int(some.sum()), of)), *(pa.array(w[c][some].astype(np.int32)) for c in ("pos", "start", "end")), pa.array(w["h"][some]), pa.array(n[some])],
+                    names=["key", "of", "pos", "start", "end", "h", "c"],
+                )
+
+    one = source.join(wanted, F.col("key").eqNullSafe(F.col("k"))).select("key", "text", "xs")
+    one = staged(one.mapInArrow(cut, "key long, of long, pos int, start int, end int, h long, c long"), "run").dropDuplicates(["key", "of", "pos"])
+    at = F.struct("key", "of")
+    apart = (F.max("c") > 1) | (F.max("pos") - F.min("pos") >= RUN) | ~F.max(at).eqNullSafe(F.min(at))  # more than its own overlaps
+    first = one.groupBy(F.col("h").alias("fh")).agg(F.sum("c").alias("copies"), F.min(place).alias("first"), apart.alias("apart")).where("apart")
+    same = F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.of") == F.col("of"))
+    one = one.join(first, F.col("h") == F.col("fh")).withColumn("kept", same & (F.col("first.pos") == F.col("pos")))
+    one = one.where(F.col("kept") | ~same | (F.col("pos") - F.col("first.pos") >= RUN))
+    rows = whole.unionByName(one.select("key", "of", "kept", "pos", F.lit(1).alias("n"), "start", "end", "first", "copies"))
+    by = Window.partitionBy("key", "of", "kept").orderBy("pos")
+    rows = rows.withColumn("new", F.when(F.lag(F.col("pos") + F.col("n")).over(by) == F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    out = rows.groupBy("key", "of", "kept", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("n") + RUN - 1).cast("int").alias("n_words"), F.min_by("first", "pos").alias("first"), F.max("copies").alias("copies")
+    )
+    return out.select(F.col("key").alias(key), "start", "end", "n_words", F.col("first.key").alias("component_id"), F.col("first.start").alias("component_start"), "copies", "kept")
+
+
+def hash_of(text: str) -> np.int64:
+    """A text's own hash, to tell rows of one key apart."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    return hashed(a, np.array([0]), np.array([len(a)])).view(np.int64)[0]
+
+
+def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Repeated paragraphs, equal or similar, and equal runs of RUN words or more."""
+    return duplicates(df, key, text).unionByName(runs(df, key, text))
+
+
 def removed(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the paragraphs of found that are not kept cut out of its texts, columns as they were."""
     cuts = found.where("not kept").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
@@ -271,5 +471,5 @@ def removed(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:
-    """Each paragraph of documents that has a copy elsewhere, with its component and whether it stays."""
-    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Each paragraph and equal run of documents that has a copy elsewhere, with its component and whether it stays."""
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
