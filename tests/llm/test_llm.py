@@ -168,6 +168,27 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert all(have.get(v, v) == want[v] for v in values)
 
 
+def test_two_large_buckets_in_one_batch(spark, monkeypatch):
+    r = random.Random(16)
+    every = lambda a, b: [(i, j) for i in range(len(a[0])) for j in (range(i) if b is None else range(len(b[0])))]
+    monkeypatch.setattr(common, "BLOCK", 16)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for tail in (1, 9, 16):
+            # a first bucket that ends within a batch, a second one of more than BLOCK rows that goes on after it
+            sizes = (64 + tail, 100, 30)
+            rows = [(k, (k << 20) + i, i) for k, n in enumerate(sizes) for i in range(n)]
+            r.shuffle(rows)
+            monkeypatch.setattr(common, "parts", lambda s: 1)
+            got = common.bucket_links(frame(spark, rows, "key long, fp long, bits long"), "fp", ["bits"], every).collect()
+            have = {tuple(sorted((x.a, x.b))) for x in got}
+            want = {((k << 20) + j, (k << 20) + i) for k, n in enumerate(sizes) for i in range(n) for j in range(i)}
+            assert have == want, tail
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)]
     got = {x.node: x.component for x in common.components(frame(spark, links, "a long, b long")).collect()}

@@ -146,7 +146,7 @@ def bucket_links(
                 continue
             cut = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(keys)]
-            rest = None
+            rest, before = None, over  # this batch may end one oversized bucket and begin another
             if not last:
                 if ends[-1] - starts[-1] > BLOCK:
                     over = keys[-1]
@@ -161,7 +161,7 @@ def bucket_links(
             some = np.flatnonzero(ends - starts >= 2) if over is None else np.arange(len(starts))
             for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
                 run = t.slice(s, e - s)
-                if keys[s] == over or e - s > BLOCK:
+                if keys[s] in (before, over) or e - s > BLOCK:
                     yield out([], [], keys[s:e], run)
                 elif e - s > 1:
                     x = values(run)
