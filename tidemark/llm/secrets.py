@@ -97,7 +97,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     weak = some.select("_row", F.explode(F.concat(numbered("key"), numbered("endpoint"))).alias("w"))
     reach = F.sequence(F.floor((F.col("w.s") - SCOPE) / SCOPE), F.floor((F.col("w.e") + SCOPE) / SCOPE))
     weak = weak.select("_row", "w", F.explode(reach).alias("bin"))
-    ids = some.select("_row", F.explode("_access").alias("a")).select("_row", "a", F.floor(F.col("a.s") / SCOPE).alias("bin"))
+    ids = some.select("_row", F.explode("_access").alias("a"))
+    ids = ids.select("_row", "a", F.explode(F.sequence(F.floor(F.col("a.s") / SCOPE), F.floor(F.col("a.e") / SCOPE))).alias("bin"))
     near = weak.join(ids, ["_row", "bin"]).where((F.col("a.s") <= F.col("w.e") + SCOPE) & (F.col("w.s") <= F.col("a.e") + SCOPE))
     linked = near.select("_row", "w").distinct().groupBy("_row").agg(F.collect_list("w").alias("_weak"))
     tag = lambda k: F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), F.lit(k).alias("kind"), x["e"].alias("e")))
