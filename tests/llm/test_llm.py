@@ -278,6 +278,23 @@ def test_toxicity_learns_and_scores_every_window(spark):
     assert len(got) == len(ODD) and all(0 <= x.score <= 1 for x in got)
 
 
+def test_long_words_are_read_to_their_ends():
+    r = random.Random(13)
+    assert toxicity.split("a" * 40) == ["a" * 40]
+    for n in (41, 70, 71, 333):
+        w = "".join(r.choice("abcdefgh") for _ in range(n))
+        pieces = toxicity.split(f"x ({w}) y")[1:-1]
+        assert pieces[0] + "".join(p[toxicity.SHARED :] for p in pieces[1:]) == w and max(map(len, pieces)) <= toxicity.PIECE
+    clean = texts(120, 5)
+    bad = [t.replace(" ", " vileword ", 1) if i % 2 else t + " nastything" for i, t in enumerate(texts(60, 6))]
+    joined = lambda t: t.replace(" ", "_")
+    score = toxicity.Scorer(toxicity.train(list(map(joined, clean[:90] + bad[:40])), [0] * 90 + [1] * 40))
+    # behind the 40th character a term counts
+    pairs = [(t[:60] + term + t[60:], t[:60] + "_" + t[60:]) for t in map(joined, clean[90:]) for term in ("_vileword_", "_nastything_")]
+    with_, without = (np.array(score(list(x))) for x in zip(*pairs, strict=True))
+    assert (with_ > without).mean() > 0.9 and with_.mean() > 5 * without.mean()
+
+
 # secrets
 
 

@@ -24,6 +24,8 @@ EMBED, HIDDEN = 6, 6
 SAMPLE, SAMPLE_WORDS = 1200, 1 << 19
 #: Rounds over the training windows; few texts get more, up to MOST_EPOCHS.
 EPOCHS, MOST_EPOCHS = 6, 20
+#: Characters of a word at most, and those that consecutive pieces of a longer one share.
+PIECE, SHARED = 40, 10
 #: Distinct words whose inputs a worker keeps.
 KEPT = 250_000
 STRIP = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
@@ -31,13 +33,15 @@ STRIP = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range
 
 def grams(word: str) -> list[int]:
     """Buckets of a word's character n-grams: prefixes of 3 to 6 characters and all inner trigrams."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     out = [zlib.crc32(w[:n].encode()) % GRAMS for n in range(4, min(7, len(w)) + 1)]
     return out + [zlib.crc32(w[i : i + 3].encode()) % GRAMS for i in range(len(w) - 2)]
 
 
 def split(text: str | None) -> list[str]:
-    return [x for w in (text or "").lower().split() if (x := w.strip(STRIP))]
+    """Words without the signs around them; longer ones, as of texts without spaces, in overlapping pieces."""
+    words = [x for w in (text or "").lower().split() if (x := w.strip(STRIP))]
+    return [x[i : i + PIECE] for x in words for i in range(0, max(1, len(x) - SHARED), PIECE - SHARED)]
 
 
 def word_bucket(word: str) -> int:
