@@ -17,9 +17,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one on a single machine, where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{os.path.join(tempfile.gettempdir(), 'tidemark-shared')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -30,6 +32,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # the shuffles behind the written rows are garbage; executors delete their files when the driver notices
     return spark.read.schema(df.schema).parquet(path)
 
 

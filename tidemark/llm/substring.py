@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ JOINED, LONG = 40, 64
 RUN, GRAM = 51, 12
 #: Rows of a band, and the share of pairs at SIMILAR that the bands are to find.
 ROWS, RECALL = 2, 0.98
-#: Characters worked on at a time, and paragraph hashes that a task remembers to have sent keys for.
-CHARS, SENT = 1 << 20, 1 << 18
+#: Characters worked on at a time (arrays that fit a processor's cache), and paragraph hashes that a task remembers to have sent keys for.
+CHARS, SENT = 1 << 17, 1 << 18
+#: Windows that are compared at a time, and classes of a piece from which on its windows are dealt by their own hashes.
+HELD, MANY = 1 << 16, 4096
 U = np.uint64
 BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -384,7 +387,7 @@ def runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             first, end, own = stretches(w)
             # hashes of windows are those of the words, so that those of all windows name the stretch
             whole = hashed(w["h"].view(U), first, end)
-            at = np.array([hash_of(t) for t in texts])[w["text"][first]]
+            at = np.array([hash_of(t) for t in texts], np.int64)[w["text"][first]]
             whole[own] = mixed(whole[own] ^ mixed(at[own].view(U) + w["pos"][first[own]].astype(U)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -404,40 +407,55 @@ def runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     dropped(found)
     place = F.struct("key", "pos", "of", "start")
     classes = rows.groupBy("low", "h").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max("weight").alias("weight"))
-    several = classes.groupBy("low").agg(F.count("*").alias("k"), F.max("weight").alias("own")).select("low", ((F.col("k") > 1) | (F.col("own") > 1)).alias("several"))
-    classes = staged(classes.join(several, "low").select("h", F.col("low").alias("l"), "copies", "first", "several"), "stretch-class")
+    several = classes.groupBy("low").agg(F.count("*").alias("k"), F.max("weight").alias("own"))
+    several = several.select("low", ((F.col("k") > 1) | (F.col("own") > 1)).alias("several"), (F.col("k") > MANY).alias("many"))
+    classes = staged(classes.join(several, "low").select("h", F.col("low").alias("l"), "copies", "first", "several", "many"), "stretch-class")
     of_class = rows.join(classes.where("several or copies > 1").withColumnRenamed("h", "ch"), (F.col("low") == F.col("l")) & (F.col("h") == F.col("ch")))
     of_class = of_class.withColumn("is_first", F.col("first").eqNullSafe(place))
     whole = of_class.where("not is_first or not several").select("key", "of", F.col("is_first").alias("kept"), "pos", "n", "start", "end", "first", "copies")
-    wanted = classes.where("several").select(F.col("first.key").alias("k"), F.struct(F.col("first.of").alias("of"), F.col("first.pos").alias("pos"), "copies").alias("x"))
+    wanted = classes.where("several").select(
+        F.col("first.key").alias("k"), F.struct(F.col("first.of").alias("of"), F.col("first.pos").alias("pos"), "copies", F.col("l").alias("low"), "many").alias("x")
+    )
     wanted = wanted.groupBy("k").agg(F.collect_list("x").alias("xs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of the wanted stretches, a row for each stretch."""
         for batch in batches:
             for k, t, xs in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("xs").to_pylist(), strict=True):
                 t = t or ""
-                w, of = windows([t]), int(hash_of(t))
-                copies = {x["pos"]: x["copies"] for x in xs if x["of"] == of}
-                if not copies:
+                of = hash_of(t)
+                asked = {x["pos"]: x for x in xs if x["of"] == of}
+                if not asked:
                     continue
+                w = windows([t])
                 first, end, _ = stretches(w)
-                n = np.array([copies.get(p, 0) for p in w["pos"][first].tolist()])
-                n = np.repeat(n, end - first)
-                some = n > 0
+                some = np.flatnonzero(np.isin(w["pos"][first], list(asked)))
+                xs = [asked[p] for p in w["pos"][first[some]].tolist()]
+                index = np.repeat(first[some] - np.r_[0, np.cumsum((end - first)[some])[:-1]], (end - first)[some]) + np.arange(int((end - first)[some].sum()))
+                offsets = pa.array(np.r_[0, np.cumsum((end - first)[some])].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * int(some.sum()), pa.int64()), pa.array(np.full(int(some.sum()), of)), *(pa.array(w[c][some].astype(np.int32)) for c in ("pos", "start", "end")), pa.array(w["h"][some]), pa.array(n[some])],
-                    names=["key", "of", "pos", "start", "end", "h", "c"],
+                    [pa.array([k] * len(xs), pa.int64()), pa.array([of] * len(xs), pa.int64()), pa.array([x["low"] for x in xs], pa.int64()), pa.array([x["copies"] for x in xs], pa.int64()), pa.array([x["many"] for x in xs])]
+                    + [pa.array(w["pos"][first[some]].astype(np.int32))]
+                    + [pa.ListArray.from_arrays(offsets, pa.array(w[c][index].astype(kind))) for c, kind in (("h", np.int64), ("start", np.int32), ("end", np.int32))],
+                    names=["key", "of", "low", "c", "many", "pos", "h", "start", "end"],
                 )
 
     one = source.join(wanted, F.col("key").eqNullSafe(F.col("k"))).select("key", "text", "xs")
-    one = staged(one.mapInArrow(cut, "key long, of long, pos int, start int, end int, h long, c long"), "run").dropDuplicates(["key", "of", "pos"])
+    one = staged(one.mapInArrow(cut, "key long, of long, low long, c long, many boolean, pos int, h array<long>, start array<int>, end array<int>"), "run")
+    # equal windows have equal pieces: the windows of a piece meet in one task, and a piece with many classes is dealt by window
+    few = one.where("not many").drop("many").repartition(parts(df.sparkSession), "low").sortWithinPartitions("low")
+    found_runs = few.mapInArrow(
+        compared, "key long, of long, kept boolean, pos int, n int, start int, end int, first struct<key:long,pos:int,of:long,start:int>, copies long"
+    )
+    each = one.where("many").select("key", "of", "c", F.posexplode(F.arrays_zip("h", "start", "end")).alias("i", "x"), F.col("pos").alias("p"))
+    each = each.select("key", "of", "c", (F.col("p") + F.col("i")).cast("int").alias("pos"), "x.h", "x.start", "x.end").dropDuplicates(["key", "of", "pos"])
     at = F.struct("key", "of")
     apart = (F.max("c") > 1) | (F.max("pos") - F.min("pos") >= RUN) | ~F.max(at).eqNullSafe(F.min(at))  # more than its own overlaps
-    first = one.groupBy(F.col("h").alias("fh")).agg(F.sum("c").alias("copies"), F.min(place).alias("first"), apart.alias("apart")).where("apart")
+    first = each.groupBy(F.col("h").alias("fh")).agg(F.sum("c").alias("copies"), F.min(place).alias("first"), apart.alias("apart")).where("apart")
     same = F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.of") == F.col("of"))
-    one = one.join(first, F.col("h") == F.col("fh")).withColumn("kept", same & (F.col("first.pos") == F.col("pos")))
-    one = one.where(F.col("kept") | ~same | (F.col("pos") - F.col("first.pos") >= RUN))
-    rows = whole.unionByName(one.select("key", "of", "kept", "pos", F.lit(1).alias("n"), "start", "end", "first", "copies"))
+    each = each.join(first, F.col("h") == F.col("fh")).withColumn("kept", same & (F.col("first.pos") == F.col("pos")))
+    each = each.where(F.col("kept") | ~same | (F.col("pos") - F.col("first.pos") >= RUN))
+    rows = whole.unionByName(found_runs).unionByName(each.select("key", "of", "kept", "pos", F.lit(1).alias("n"), "start", "end", "first", "copies"))
     by = Window.partitionBy("key", "of", "kept").orderBy("pos")
     rows = rows.withColumn("new", F.when(F.lag(F.col("pos") + F.col("n")).over(by) == F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
     out = rows.groupBy("key", "of", "kept", "run").agg(
@@ -446,10 +464,70 @@ def runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out.select(F.col("key").alias(key), "start", "end", "n_words", F.col("first.key").alias("component_id"), F.col("first.start").alias("component_start"), "copies", "kept")
 
 
-def hash_of(text: str) -> np.int64:
-    """A text's own hash, to tell rows of one key apart."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    return hashed(a, np.array([0]), np.array([len(a)])).view(np.int64)[0]
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that occur elsewhere, from stretches sorted by piece; whole pieces, some HELD windows at a time."""
+    rest: list[pa.Table] = []
+    held = 0
+    for last, batch in with_last(batches):
+        t = pa.Table.from_batches([batch])
+        low = t.column("low").to_numpy()
+        if rest and len(low) and low[0] == low[-1] == rest[-1].column("low")[-1].as_py() and not last:
+            rest.append(t)  # in the midst of a piece
+            continue
+        n = len(low) if last or not len(low) else int(np.searchsorted(low == low[-1], True))
+        rest.append(t.slice(0, n))
+        held += sum(len(x.column("h").combine_chunks().flatten()) for x in rest[-1:])
+        if n and (held >= HELD or last):
+            yield from ranges(pa.concat_tables(rest))
+            rest, held = [], 0
+        if n < len(low):
+            rest.append(t.slice(n))
+    if rest and sum(x.num_rows for x in rest):
+        yield from ranges(pa.concat_tables(rest))
+
+
+def ranges(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows (key, of, kept, pos, n, start, end, first, copies) of the windows in t that occur elsewhere, joined where they follow one another."""
+    lists = t.column("h").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    some = t.column("key").is_valid().to_numpy()[row]  # a null key comes first, as in Spark's order
+    key = t.column("key").fill_null(0).to_numpy()[row]
+    of, c = t.column("of").to_numpy()[row], t.column("c").to_numpy()[row]
+    pos = t.column("pos").to_numpy()[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    h, start, end = lists.flatten().to_numpy(), *(t.column(x).combine_chunks().flatten().to_numpy() for x in ("start", "end"))
+    order = np.lexsort((of, pos, key, some, h))
+    order = order[np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (h, some, key, pos, of)], axis=0)]] if len(order) else order
+    if not len(order):
+        return
+    h, some, key, pos, of, c, start, end = (x[order] for x in (h, some, key, pos, of, c, start, end))
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+    to = first[group]
+    same = (some == some[to]) & (key == key[to]) & (of == of[to])
+    apart = (np.maximum.reduceat(c, first) > 1) | (np.maximum.reduceat(pos, first) - np.minimum.reduceat(pos, first) >= RUN) | np.logical_or.reduceat(~same, first)
+    copies = np.add.reduceat(c, first)[group]
+    kept = same & (pos == pos[to])
+    at = np.flatnonzero(apart[group] & (kept | ~same | (pos - pos[to] >= RUN)))
+    at = at[np.lexsort((pos[at], kept[at], of[at], key[at], some[at]))]
+    if not len(at):
+        return
+    new = np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in (some, key, of, kept)], axis=0) | (np.diff(pos[at]) != 1)]
+    begin = np.flatnonzero(new)
+    n = np.diff(np.r_[begin, len(at)])
+    a, z, f = at[begin], at[begin + n - 1], to[at[begin]]
+    int32 = lambda x: pa.array(x.astype(np.int32))
+    place = pa.StructArray.from_arrays([pa.array(key[f], mask=~some[f]), int32(pos[f]), pa.array(of[f]), int32(start[f])], names=["key", "pos", "of", "start"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key[a], mask=~some[a]), pa.array(of[a]), pa.array(kept[a]), int32(pos[a]), int32(n), int32(start[a]), int32(end[z]), place, pa.array(np.maximum.reduceat(copies[at], begin))],
+        names=["key", "of", "kept", "pos", "n", "start", "end", "first", "copies"],
+    )
+
+
+def hash_of(text: str) -> int:
+    """A text's own hash (signed), to tell rows of one key apart."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
