@@ -45,6 +45,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def plain(df: DataFrame, *left_out: str) -> tuple[list[str], list]:
+    """Names of the columns but those left out, and these columns under the names c0, c1, .. that clash with nothing."""
+    names = [c for c in df.columns if c.lower() not in {x.lower() for x in left_out}]
+    return names, [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+
+
 def columns_of(spark: SparkSession, path: str, *names: str) -> DataFrame:
     return spark.read.parquet(path).select(*names)
 
