@@ -4,7 +4,8 @@ A fingerprint's 64 bits form 32 segments of two bits; the vector of their bit co
 two fingerprints by no more in Manhattan distance than they differ in bits. The vector's eight groups
 of four segments are the axes of a grid: within distance d at most d groups differ, so two linked
 fingerprints share a cell in at least one choice of 8 - d axes. The range-join is an equi-join over
-these choices, and each pair in a cell is verified by its exact bit difference.
+these choices; of the pairs in a cell those beyond Manhattan distance d are rejected, and the rest is
+verified by its exact bit difference.
 """
 
 from __future__ import annotations
@@ -51,14 +52,27 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             fp = pa.array([fingerprint(x, words) for x in b.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("key"), fp], names=[key, "fp"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, f"{key} long, fp long")
+    given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return given.mapInArrow(run, given.select(F.col("key").alias(key), F.lit(None).cast("long").alias("fp")).schema)
+
+
+def embedded(bits: np.ndarray) -> np.ndarray:
+    """The bit counts of the 32 segments in unary (0, 1, 3): differing bits are then the Manhattan distance."""
+    half = np.uint64(0x5555555555555555)
+    other = bits >> np.uint64(1)
+    return ((bits | other) & half) | (((bits & other) & half) << np.uint64(1))
 
 
 def close(block: list[np.ndarray], other: list[np.ndarray] | None, most: int) -> list[tuple[int, int]]:
-    """Links that connect what differs in at most `most` bits, within a block or across two."""
+    """Links that connect what differs in at most `most` bits, within a block or across two.
+
+    Pairs whose counts lie farther apart are rejected, the others verified by their bits.
+    """
     a = block[0].view(np.uint64)
     b = a if other is None else other[0].view(np.uint64)
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= most
+    near = np.bitwise_count(embedded(a)[:, None] ^ embedded(b)[None, :]) <= most
+    i, j = np.nonzero(near)
+    near[i, j] = np.bitwise_count(a[i] ^ b[j]) <= most
     if other is None:
         if len(a) == 2:
             return [(0, 1)] if near[0, 1] and a[0] != a[1] else []
@@ -84,8 +98,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most
 
     Two rows are linked if their fingerprints differ in at most `most` (under 8) bits; equal texts and equal
     fingerprints are one class, of which only one member takes part in the join. Null and wordless texts
-    have fingerprint zero and are linked like any other. Repeated keys share the component of each of
-    their rows' texts. An empty table gives no rows.
+    have fingerprint zero and are linked like any other. Keys are of any orderable type. Rows with one key are
+    rows of their own, each in the component of its text; null keys count as smallest only where a component
+    has no other (then component_id is null). Extra columns are left out, an empty table gives no rows.
     """
     if not 0 <= most < GROUPS:
         raise ValueError("most must be from 0 to 7")
@@ -105,13 +120,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most
         cells.select("key", "fp", F.col("fp").alias("bits")), "fp", ["bits"], lambda x, y: close(x, y, most)
     )
     linked = components(links)
-    low = (
-        classes.join(linked, classes.fp == linked.node, "left")
-        .select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    )
+    low = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = low.join(least, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select(key, "fp", "component_id")
+    of = staged(low.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "fp-component")
+    return fps.join(of, F.col("fp") == F.col("_fp")).select(key, "fp", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
