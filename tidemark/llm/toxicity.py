@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 #: Words in a window and between starts of windows; hash buckets of words and of character n-grams.
 WINDOW, STRIDE, WORDS, GRAMS = 32, 16, 1 << 15, 1 << 15
 #: Sizes of learned vectors (each) and of the state in one direction.
@@ -22,6 +24,8 @@ EMBED, HIDDEN = 6, 6
 #: Labelled rows that training takes at most of each label, smallest hash first, and their words at most.
 #: A documented bound: the model's size doesn't follow the corpus, and neither does its training set.
 SAMPLE, SAMPLE_WORDS = 1200, 1 << 19
+#: Characters of a clean and of a toxic training text beyond which a stretch of PART takes part.
+PART, WHOLE = 12_000, 200_000
 #: Rounds over the training windows; few texts get more, up to MOST_EPOCHS.
 EPOCHS, MOST_EPOCHS = 6, 20
 #: Characters of a word at most, and those that consecutive pieces of a longer one share.
@@ -298,17 +302,25 @@ def train(texts: list[str | None], labels: list[int], rate: float | None = None,
 
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, list, float | None]:
-    """Texts, labels and the rate of label 1 to train on: rows outside the held-out fold, at most SAMPLE of each label and SAMPLE_WORDS words."""
+    """Texts, labels and the rate of label 1 to train on: rows outside the held-out fold, at most SAMPLE of each label and SAMPLE_WORDS words.
+
+    Of a clean text of over PART characters a stretch of that length takes part, from a place that the id's hash
+    gives; a toxic text takes part whole, as any of its windows may be what makes it toxic, and as such a stretch
+    only beyond WHOLE characters. Rows without an id or a label of 0 or 1 take no part; of repeated labels the larger counts.
+    """
     rows = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y in (0, 1)")
     rows = rows.where(F.crc32(F.col("k").cast("string").cast("binary")) % 5 != 0).groupBy("k").agg(F.max("y").alias("y"))
     rate = rows.agg(F.avg("y")).collect()[0][0]
     rows = [rows.where(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(SAMPLE) for v in (0, 1)]
     rows = rows[0].union(rows[1])
-    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= 12_000).join(F.broadcast(rows), "k")  # 2 * SAMPLE ids
-    got = got.orderBy(F.xxhash64("k"), "k").limit(4 * SAMPLE).collect()  # whole texts, at most 12,000 characters each
+    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(rows), "k")  # 2 * SAMPLE ids
+    whole = F.length("t") <= F.when(F.col("y") == 1, WHOLE).otherwise(PART)
+    start = F.pmod(F.xxhash64("k", F.lit(3)), F.greatest(F.length("t") - PART, F.lit(1))) + 1
+    got = got.withColumn("t", F.when(whole, F.col("t")).otherwise(F.substring("t", start.cast("int"), F.lit(PART))))
+    got = got.orderBy(F.xxhash64("k"), "k", "t").limit(4 * SAMPLE).collect()
     texts, ys, n = [], [], 0
     for r in got:
-        n += (r.t or "").count(" ") + 1
+        n += r.t.count(" ") + 1
         if n > SAMPLE_WORDS:
             break
         texts.append(r.t)
@@ -320,10 +332,10 @@ def score(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """df without its text, plus score (0 to 1); null and empty texts are scored as one empty window.
 
     The network goes to the executors as a broadcast of fixed size (3 MB); no shuffle. A column score is
-    replaced; repeated rows get equal scores.
+    replaced, others may have any name; repeated rows get equal scores, an empty table gives no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast((net.p, net.word_odds, net.gram_odds))
-    kept = [c for c in df.columns if c not in (text, "score")]
+    kept, cols = plain(df, text, "score")
     state: dict[str, Scorer] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +344,11 @@ def score(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
             n.p, n.word_odds, n.gram_odds = sent.value
             state["s"] = Scorer(n)
         for b in batches:
-            got = pa.array(state["s"](b.column("_text").to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), got], names=[*kept, "score"])
+            got = pa.array(state["s"](b.column(0).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], got], names=[*(f"c{i}" for i in range(len(kept))), "score"])
 
-    schema = df.select(*kept, F.lit(None).cast("double").alias("score")).schema
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = df.select(*cols).schema.add("score", "double")
+    return df.select(F.col(text).alias("t"), *cols).mapInArrow(run, schema).toDF(*kept, "score")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
