@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import plain, staged
 
 #: The base patterns in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,11 +66,13 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text plus found: array of (s, k, kind, e), sorted; k is the kind's place in KINDS.
 
     The base spans are always there; a weak candidate is where an access identifier lies within SCOPE code
-    points of it and it overlaps no base span. A null text is an empty one. A column found is replaced;
-    repeated rows and keys are rows of their own, as the join runs on a row number of the written table.
+    points of it and it overlaps no base span. A null text is an empty one, an empty table gives no rows. A column
+    found is replaced, others may have any name; repeated rows and keys are rows of their own, as the join runs on
+    a row number of the written table.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rest = [c for c in df.columns if c not in (text, "found")]
+    kept, cols = plain(df, text, "found")
+    rest = [f"c{i}" for i in range(len(kept))]
     assign = F.filter(spans(F.col("_t"), ASSIGN, (2,)), lambda x: x["e2"] >= 8)
     # runs are maximal either way, so that the long form has the matches of the base form that are long enough;
     # for access identifiers the base match may start earlier, within a run that holds AKIA twice: still the same
@@ -79,7 +81,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         "_access": spans(F.col("_t"), ACCESS_LONG),
         "_hex": spans(F.col("_t"), HEX_LONG),
     }
-    first = df.select(*rest, t.alias("_t")).select(*rest, "_t", *(v.alias(k) for k, v in made.items()))
+    first = df.select(*cols, t.alias("_t")).select(*rest, "_t", *(v.alias(k) for k, v in made.items()))
     has = F.size("_access") > 0
     none = F.array().cast("array<struct<s:int,e:int>>")
     first = first.select(
@@ -105,7 +107,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     out = first.join(linked, "_row", "left").withColumn("_base", F.sort_array(F.concat(tag("assign"), tag("access"), tag("hex"))))
     clear = F.filter(F.coalesce("_weak", F.array().cast("array<struct<k:int,s:int,e:int>>")), lambda w: ~F.exists("_base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
     more = F.transform(clear, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), F.when(w["k"] == 3, F.lit("key")).otherwise(F.lit("endpoint")).alias("kind"), w["e"].alias("e")))
-    return out.select(*rest, F.sort_array(F.concat("_base", more)).alias("found"))
+    return out.select(*rest, F.sort_array(F.concat("_base", more)).alias("found")).toDF(*kept, "found")
 
 
 def joined(found: Column) -> Column:
@@ -122,17 +124,20 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def redacted(df: DataFrame, found: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """df with each span of found (key, found) replaced by <kind>; overlapping spans are one replacement."""
-    at = found.where(F.size("found") > 0).select(key, "found").groupBy(key).agg(F.first("found").alias("found"))
+def redacted(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with each secret of its texts replaced by <kind>; overlapping spans are one replacement.
+
+    Columns and rows stay as they are, whatever their keys: each row is cut by its own spans.
+    """
+    found = scan(df.withColumn("_copy", F.col(text)).withColumn("_whole", F.struct(*df.columns)).select("_copy", "_whole"), "_copy")
+    own = F.col(f"_whole.`{text}`")
 
     def cut(a, x):
         skip = x["s"] < a["p"]
-        piece = F.concat(a["o"], F.substring(F.col(text), a["p"] + 1, x["s"] - a["p"]), F.lit("<"), x["kind"], F.lit(">"))
+        piece = F.concat(a["o"], F.substring(own, a["p"] + 1, x["s"] - a["p"]), F.lit("<"), x["kind"], F.lit(">"))
         return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.when(skip, a["o"]).otherwise(piece).alias("o"))
 
-    whole = F.aggregate("found", F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), cut)
-    whole = whole["o"]
-    end = F.aggregate("found", F.lit(0), lambda a, x: F.greatest(a, x["e"]))
-    new = F.concat(whole, F.substring(F.col(text), end + 1, F.length(text)))
-    return df.join(at, key, "left").withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(new)).select(*df.columns)
+    done = F.aggregate("found", F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), cut)
+    new = F.concat(done["o"], F.substring(own, done["p"] + 1, F.length(own)))
+    new = F.when(F.size("found") == 0, own).otherwise(new)
+    return found.select(*(new.alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in df.columns))
