@@ -48,6 +48,7 @@ def url_key(url: str | None) -> str:
 
 
 def record_id(page_id: int | None, digest: str) -> str:
+    """The id that a revisit can compute of the response it refers to; repeated rows of one page share it."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
 
 
@@ -142,17 +143,17 @@ def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = opened(folder)
-        name, out, offset, held, directory = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
+        name, out, offset, held, directory, end = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], [], ""
 
         def block() -> None:
-            nonlocal out, offset, held
+            nonlocal out, offset, held, end
             if out is None:
                 out = fs.open_output_stream(f"{at}/{name}", compression=None)
             raw = zipped("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in held).encode())
             out.write(raw)
             directory.append([held[0][0], offset, len(raw), len(held)])
             offset += len(raw)
-            held = []
+            held, end = [], held[-1][0]
 
         for b in batches:
             for x in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -165,10 +166,10 @@ def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
             out.close()
             with fs.open_output_stream(f"{at}/{name}.dir") as f:
                 f.write(json.dumps(directory, ensure_ascii=False).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name]), pa.array([len(directory)], pa.int32())], names=["first", "file", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([end]), pa.array([name]), pa.array([len(directory)], pa.int32())], names=["first", "last", "file", "blocks"])
 
     ranged = entries.repartitionByRange(parts(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
-    ranged.mapInArrow(index, "first string, file string, blocks int").write.parquet(f"{folder}/index")
+    ranged.mapInArrow(index, "first string, last string, file string, blocks int").write.parquet(f"{folder}/index")
     return folder
 
 
@@ -183,10 +184,16 @@ def lines_of(fs, at: str, name: str, offset: int, length: int) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(raw, 31).decode().split("\n") if x]
 
 
+def listing(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """First keys and names of the index files, a row each, in the order of their keys: of equal first keys by the last."""
+    rows = sorted((r["first"], r["last"], r["file"]) for r in spark.read.parquet(f"{folder}/index").collect())
+    return [(first, file) for first, _, file in rows]
+
+
 def lookup(spark: SparkSession, folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
     """Headers and payload of every capture of a URL, by the two levels of the index and range reads."""
     fs, at = opened(folder)
-    files = sorted((r.first, r.file) for r in spark.read.parquet(f"{folder}/index").collect())  # a row for each index file
+    files = listing(spark, folder)
     key, found = url_key(url), []
     first = max(0, bisect.bisect_left([f[0] for f in files], key) - 1)
     for start, name in files[first:]:
@@ -202,48 +209,107 @@ def lookup(spark: SparkSession, folder: str, url: str) -> list[tuple[dict[str, s
     return found
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, url, record_type, payload_digest, html, refers_to) of every record that the index names.
+def looked_up(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
+    """(file, offset, length) of every capture of each URL in the one column of urls, by the two levels of the index.
 
-    A revisit's html is null; payload_digest is computed anew from a response's payload, and is the header
-    of a revisit. Index files are dealt to tasks, their entries regrouped by archive file and read in order.
+    Distinct keys are sorted; a task bisects the list of index files (a row a file, so as many as a write has
+    partitions) and their sparse directories, and names the blocks that hold a key. Blocks are then dealt out,
+    so that the captures of one frequent URL are read in many tasks, and keys bisected in the lines of each.
     """
+    name = urls.columns[0]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["key"])
+
+    wanted = urls.select(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("url")).distinct().mapInArrow(keys, "key string").distinct()
+    listed = listing(spark, folder)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = opened(folder)
+        firsts = [f for f, _ in listed]
+        held: dict[str, list[list]] = {}
+        for b in batches:
+            out = []
+            for key in b.column(0).to_pylist():
+                for first, file in listed[max(0, bisect.bisect_left(firsts, key) - 1) :]:
+                    if first > key:
+                        break
+                    if file not in held:
+                        if len(held) > 1:  # keys come in order: at most two directories are needed at a time
+                            del held[next(iter(held))]
+                        held[file] = blocks_of(fs, at, file)
+                    directory = held[file]
+                    low = max(0, bisect.bisect_left(directory, key, key=lambda d: d[0]) - 1)
+                    for _, offset, length, _ in directory[low : bisect.bisect_right(directory, key, key=lambda d: d[0])]:
+                        out.append((file, offset, length, key))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "offset", "length", "key"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = opened(folder)
+        block, held, ks = None, [], []
         for b in batches:
-            for name in b.column("file").to_pylist():
-                for _, offset, length, _ in blocks_of(fs, at, name):
-                    x = list(zip(*lines_of(fs, at, name, offset, length), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[2]), pa.array(x[3], pa.int64()), pa.array(x[4], pa.int64())], names=["file", "offset", "length"])
+            out = []
+            for file, offset, length, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (file, offset) != block:
+                    block, held = (file, offset), lines_of(fs, at, file, offset, length)
+                    ks = [x[0] for x in held]
+                out += [x[2:] for x in held[bisect.bisect_left(ks, key) : bisect.bisect_right(ks, key)]]
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
+
+    n = parts(spark)
+    named = wanted.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(blocks, "file string, offset long, length long, key string")
+    dealt = named.repartition(n, "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(lines, "file string, offset long, length long")
+
+
+def read(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
+    """(page_id, url, record_type, payload_digest, html, refers_to) of every capture of the URLs.
+
+    A revisit's html is null; payload_digest is computed anew from a response's payload, and is the header
+    of a revisit. Places come from the index and are regrouped by archive file; neighbours are read as one range.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = opened(folder)
         for name, offsets, lengths in groups_by_file(batches):
             with fs.open_input_file(f"{at}/{name}") as f:
                 out = []
-                for o, n in zip(offsets, lengths, strict=True):
-                    h, payload = parsed(zlib.decompress(f.read_at(n, o), 31))
-                    old = h["WARC-Type"] == "revisit"
-                    digest = h["WARC-Payload-Digest"].split(":")[1] if old else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    to = int(h["X-Refers-To-Page-ID"]) if old else None
-                    out.append((int(h["X-Page-ID"]) if h["X-Page-ID"] else None, h["WARC-Target-URI"], h["WARC-Type"], digest, None if old else payload.decode(), to))
+                for lo, whole, part in joined(offsets, lengths):
+                    raw = f.read_at(whole, lo)
+                    for o, n in part:
+                        h, payload = parsed(zlib.decompress(raw[o - lo : o - lo + n], 31))
+                        old = h["WARC-Type"] == "revisit"
+                        digest = h["WARC-Payload-Digest"].split(":")[1] if old else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        to = int(h["X-Refers-To-Page-ID"]) if old else None
+                        out.append((int(h["X-Page-ID"]) if h["X-Page-ID"] else None, h["WARC-Target-URI"], h["WARC-Type"], digest, None if old else payload.decode(), to))
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "record_type", "payload_digest", "html", "refers_to"])
 
-    listed = spark.read.parquet(f"{folder}/index").select("file").repartition(parts(spark))
-    there = listed.mapInArrow(entries, "file string, offset long, length long")
+    there = looked_up(spark, folder, urls)
     # an archive file is read in stretches of 4 MB, so that a large one is spread over tasks
     there = there.withColumn("stretch", F.floor(F.col("offset") / (4 << 20)))
     dealt = there.repartition(parts(spark), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return dealt.mapInArrow(records, "page_id long, url string, record_type string, payload_digest string, html string, refers_to long")
 
 
+def joined(offsets: list[int], lengths: list[int], most: int = 8 << 20, gap: int = 4096) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Sorted ranges joined where they follow one another but for a small gap: offset, length and the ranges within."""
+    at = 0
+    for e in range(1, len(offsets) + 1):
+        if e == len(offsets) or offsets[e] - offsets[e - 1] - lengths[e - 1] > gap or offsets[e] + lengths[e] - offsets[at] > most:
+            yield offsets[at], offsets[e - 1] + lengths[e - 1] - offsets[at], list(zip(offsets[at:e], lengths[at:e], strict=True))
+            at = e
+
+
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
-    folder = write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), least=0)
-    back = read(spark, folder).select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    folder = write(pages, least=0)
+    back = read(spark, folder, pages.select("url")).select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     back = staged(back, "warc-read")
     whole = back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))
     out = back.join(whole, "payload_digest")
