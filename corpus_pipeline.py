@@ -13,32 +13,40 @@ from tidemark.llm import packing, quality, secrets, simhash, substring
 from tidemark.llm.common import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = ["_row1", "_row2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with 128 bits that tell its rows apart: ids may repeat or be null; rows equal in all columns are alike."""
+    return docs.select(*COLUMNS).withColumns({ROW[0]: F.xxhash64(*COLUMNS), ROW[1]: F.xxhash64(F.lit(1), *COLUMNS)})
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.rules(docs.select(*COLUMNS)).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(judged, "doc_id", "left_anti")
+    rows = keyed(docs)
+    gone = quality.rules(rows).where("not kept").select(*ROW).distinct()
+    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    rows = keyed(docs)
+    found = simhash.near_duplicates(rows.select(F.struct("doc_id", *ROW).alias("key"), "text"), "key")
+    first = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select("key.*").select(*ROW).distinct()
+    return rows.join(first, ROW, "left_semi").select(*COLUMNS).dropDuplicates()
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of which an earlier copy stays; a text of nothing else goes."""
-    found = staged(substring.passages(docs.select("doc_id", "text")), "repeats")
-    cut = substring.removed(docs.select(*COLUMNS), found)
+    rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = staged(substring.passages(rows, "_row"), "repeats")
+    cut = substring.removed(rows, found, "_row").select(*COLUMNS)
     return cut.where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each secret replaced by its kind in angle brackets."""
-    found = secrets.scan(docs.select("doc_id", "text"))
-    clean = secrets.redacted(docs.select(*COLUMNS), found, "doc_id")
+    clean = secrets.redacted(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
