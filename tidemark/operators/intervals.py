@@ -63,9 +63,8 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bucket: int,
 
 def asof(points: DataFrame, events: DataFrame, by: list[str], at: str, time: str, value: str, backward: bool = True) -> DataFrame:
     """For each point the last event at or before it (or the first at or after it), by one sort per group."""
-    p = points.select(*by, F.col(at).alias("_t"), F.lit(1 if backward else 0).alias("_k"), F.lit(None).cast(events.schema[value].dataType).alias("_v"), F.struct(*points.columns).alias("_p"))
-    e = events.select(*by, F.col(time).alias("_t"), F.lit(0 if backward else 1).alias("_k"), F.col(value).alias("_v"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    order = W.partitionBy(*by).orderBy("_t", "_k")
-    frame = order.rowsBetween(W.unboundedPreceding, 0) if backward else order.rowsBetween(0, W.unboundedFollowing)
-    pick = F.last("_v", True) if backward else F.first("_v", True)
-    return p.unionByName(e).withColumn("_v", pick.over(frame)).where("_p is not null").select("_p.*", F.col("_v").alias(value))
+    p = points.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(events.schema[value].dataType).alias("_v"), F.struct(*points.columns).alias("_p"))
+    e = events.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_k"), F.col(value).alias("_v"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
+    # looking ahead is looking back from the end: a frame that follows would be summed anew for each row
+    order = W.partitionBy(*by).orderBy(F.col("_t") if backward else F.desc("_t"), "_k").rowsBetween(W.unboundedPreceding, 0)
+    return p.unionByName(e).withColumn("_v", F.last("_v", True).over(order)).where("_p is not null").select("_p.*", F.col("_v").alias(value))

@@ -1 +1 @@
-from . import handoff  # noqa: F401  (its queries join the registry)
+from . import handoff, verification  # noqa: F401  (their queries join the registry)

@@ -94,15 +94,6 @@ def readiness(spark, d):
     return ledger.readiness(state(spark, d), DURATION)
 
 
-@query("verify_queue", f"WITH {LOG} SELECT ws, id, start_us, rank FROM (SELECT ws, id, start_us, row_number() OVER (PARTITION BY ws ORDER BY coalesce(confidence, 0), start_us, id) AS rank FROM latest WHERE status = 'hypothesized') x WHERE rank <= 5")
-def verify_queue(spark, d):
-    """The open hypotheses most in doubt, five a workspace."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("ws").orderBy(F.coalesce("confidence", F.lit(0.0)), "start_us", "id")).cast("long")
-    return state(spark, d).where("status = 'hypothesized'").withColumn("rank", rank).where("rank <= 5").select("ws", "id", "start_us", "rank")
-
-
 @query("interval_difference", f"""WITH {LOG}, lh AS (SELECT * FROM latest WHERE status = 'hypothesized'), rh AS (SELECT * FROM latest WHERE status <> 'hypothesized'),
 {islands_sql('a', 'lh', 'ws', 'start_us', 'end_us')}, {islands_sql('b', 'rh', 'ws', 'start_us', 'end_us')},
 cutp AS (SELECT a.ws, a.start_us AS a0, a.end_us AS a1, greatest(a.start_us, b.start_us) AS s, least(a.end_us, b.end_us) AS e FROM a JOIN b ON a.ws = b.ws AND b.start_us < a.end_us AND a.start_us < b.end_us),
