@@ -3,25 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEVELS = ("cross_modal", "visual_only", "transcript_only", "unsupported")
-
-
-def tool_consensus(steps: DataFrame) -> DataFrame:
-    """Tools that a strict majority of a task's tool-tagged workspaces share."""
-    used = steps.where("tool is not null").select("task", "tool", "ws").distinct()
-    total = used.groupBy("task").agg(F.count_distinct("ws").alias("tagged"))
-    return used.groupBy("task", "tool").agg(F.count("*").alias("shared")).join(total, "task").withColumn("majority", F.col("shared") >= F.floor(F.col("tagged") / 2) + 1)
+from ..shared import written
 
-
-def maturity(steps: DataFrame) -> DataFrame:
-    """Workspaces, supported steps, visual ratio, verdict of each task."""
-    s = steps.where("level <> 'unsupported'").groupBy("task")
-    out = s.agg(F.count_distinct("ws").alias("workspaces"), F.count("*").alias("steps"), F.count_if(F.col("level").isin("cross_modal", "visual_only")).alias("visual"))
-    out = out.withColumn("visual_ratio", F.round(F.col("visual") / F.col("steps"), 4)).withColumn("low_precision", F.col("visual") < 0.5 * F.col("steps"))
-    return out.withColumn("route", F.when(F.col("workspaces") < 3, F.concat(F.lit("needs-workspaces("), F.col("workspaces").cast("string"), F.lit("/3)"))).otherwise("draft"))
+LEVELS = ("cross_modal", "visual_only", "transcript_only", "unsupported")
 
 
 def evidence(steps: DataFrame) -> DataFrame:
@@ -63,13 +49,19 @@ def links(pages: DataFrame) -> DataFrame:
     return hrefs.groupBy("path", "target").agg(F.count("*").alias("n"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
-    """Nodes within `rounds` steps of the roots, with their distance; each level is deduplicated."""
-    seen = roots.select("node", F.lit(0).cast("long").alias("depth"))
-    last = seen
-    for k in range(1, rounds + 1):
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """All nodes that edges (src, dst) lead to from the roots, with their distance.
+
+    A level's nodes are deduplicated before they are joined again, and written, so that no level computes those
+    before it anew; it ends when a level finds nothing new. The driver learns only that.
+    """
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    last = written(roots.select("node", F.lit(0).cast("long").alias("depth")).distinct(), "reached")
+    seen, k = last, 0
+    while not last.isEmpty():
+        k += 1
         step = last.join(edges, last.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        last = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k).cast("long"))
+        last = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k).cast("long")), "reached")
         seen = seen.unionByName(last)
     return seen
 
@@ -89,5 +81,5 @@ def image_counts(records: DataFrame) -> DataFrame:
 
 def top_share(counts: DataFrame, by: str, value: str, limit: int) -> DataFrame:
     """The first rows by value with the uncapped total beside them."""
-    total = F.count("*").over(W.partitionBy(F.lit(1)))
-    return counts.withColumn("total_rows", total).orderBy(F.desc(value), by).limit(limit)
+    total = counts.agg(F.count("*").alias("total_rows"))
+    return counts.orderBy(F.desc(value), by).limit(limit).crossJoin(F.broadcast(total))  # one row

@@ -1 +1 @@
-from . import handoff, verification  # noqa: F401  (their queries join the registry)
+from . import handoff, knowledge, verification  # noqa: F401  (their queries join the registry)

@@ -263,15 +263,6 @@ def md_links(spark, d):
     return corpus.links(fx.table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("text")))
 
 
-@query("link_reachability", """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40),
-r AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 4) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node""")
-def link_reachability(spark, d):
-    li = fx.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey % 40 = l_suppkey % 40").distinct()
-    p, s = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    edges = li.select(p.alias("src"), s.alias("dst")).union(li.select(s.alias("src"), p.alias("dst")))
-    return corpus.reachable(edges, spark.range(1).select(F.lit("s1").alias("node")), 4)
-
-
 @query("glossary_terms", """WITH p AS (SELECT a.conv_id AS ws, a.text AS asr, b.text AS corrected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
 w AS (SELECT ws, unnest(list_distinct(list_filter(regexp_split_to_array(lower(corrected), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2))) AS term, list_filter(regexp_split_to_array(lower(asr), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2) AS old FROM p)
 SELECT term, count(*) AS n, count(DISTINCT ws) AS sources FROM w WHERE NOT list_contains(old, term) GROUP BY term""")
@@ -312,17 +303,6 @@ STEPS = """lab AS (SELECT doc_id, any_value(quality) AS quality, any_value(toxic
 steps AS (SELECT d.doc_id AS step, source AS ws, lang AS task, 'tool-' || (d.doc_id % 3) AS tool, CASE WHEN quality IS NULL THEN 'unsupported' WHEN quality = 1 AND toxic = 0 THEN 'cross_modal' WHEN quality = 1 THEN 'visual_only' ELSE 'transcript_only' END AS level FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id)"""
 
 
-@query("tool_consensus", f"""WITH {STEPS}, u AS (SELECT DISTINCT task, tool, ws FROM steps), t AS (SELECT task, count(DISTINCT ws) AS tagged FROM u GROUP BY task) SELECT u.task, tool, count(*) AS shared, any_value(tagged) AS tagged, count(*) >= any_value(tagged) // 2 + 1 AS majority FROM u JOIN t ON u.task = t.task GROUP BY u.task, tool""")
-def tool_consensus(spark, d):
-    return corpus.tool_consensus(fx.procedures(spark, d))
-
-
-@query("procedure_maturity", f"""WITH {STEPS}, a AS (SELECT task, count(DISTINCT ws) AS workspaces, count(*) AS steps, count(*) FILTER (level IN ('cross_modal','visual_only')) AS visual FROM steps WHERE level <> 'unsupported' GROUP BY task)
-SELECT *, round(visual / steps, 4) AS visual_ratio, visual < 0.5 * steps AS low_precision, CASE WHEN workspaces < 3 THEN 'needs-workspaces(' || workspaces || '/3)' ELSE 'draft' END AS route FROM a""")
-def procedure_maturity(spark, d):
-    return corpus.maturity(fx.procedures(spark, d))
-
-
 @query("evidence_distribution", f"WITH {STEPS} SELECT task, count(*) AS steps, {', '.join(f'''count(*) FILTER (level = '{x}') AS n_{x}''' for x in corpus.LEVELS)} FROM steps GROUP BY ROLLUP (task)")
 def evidence_distribution(spark, d):
     return corpus.evidence(fx.procedures(spark, d))
