@@ -19,13 +19,21 @@ def scenes(series: DataFrame, n: int, scale: float) -> DataFrame:
 
 
 def bursts(series: DataFrame, top: int = 5) -> DataFrame:
-    """stretches above max(p75, median + 3) with index gaps of two at most, by their excess; five a workspace."""
-    level = series.groupBy("ws").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("median"), F.expr("percentile_disc(0.75) within group (order by value)").alias("p75"), F.count("*").alias("_n"))
-    over = series.join(level, "ws").where("_n >= 4").where(F.col("value") >= F.greatest("p75", F.col("median") + 3))
+    """stretches above max(p75, median + 3) with index gaps of two at most, by their excess; five a workspace.
+
+    The median is the mean of the two middle values, p75 the value at index floor(0.75 (n - 1)); a stretch is widened
+    by one window on either side, but not beyond the series.
+    """
     order = W.partitionBy("ws").orderBy("i")
+    sized = series.withColumn("_r", F.row_number().over(W.partitionBy("ws").orderBy("value")))
+    level = series.groupBy("ws").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count("*").alias("_n"), F.min("t_ms").alias("_lo"), F.max("t_ms").alias("_hi"))
+    p75 = sized.join(level.select("ws", "_n"), "ws").where(F.col("_r") == F.floor(0.75 * (F.col("_n") - 1)) + 1).select("ws", F.col("value").alias("p75"))
+    over = series.join(level.join(p75, "ws"), "ws").where("_n >= 4").where(F.col("value") >= F.greatest("p75", F.col("median") + 3))
     over = over.withColumn("_o", F.when(F.coalesce(F.col("i") - F.lag("i").over(order) <= 2, F.lit(False)), 0).otherwise(1))
     over = over.withColumn("_k", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    got = over.groupBy("ws", "_k").agg((F.min("t_ms") - 40).alias("start_ms"), (F.max("t_ms") + 80).alias("end_ms"), F.sum(F.round((F.col("value") - F.col("median")) * 100).cast("long")).alias("excess"))
+    got = over.groupBy("ws", "_k").agg(
+        F.min(F.greatest(F.col("t_ms") - 40, F.col("_lo"))).alias("start_ms"), F.max(F.least(F.col("t_ms") + 40, F.col("_hi")) + 40).alias("end_ms"), F.sum(F.round((F.col("value") - F.col("median")) * 100).cast("long")).alias("excess")
+    )
     rank = F.row_number().over(W.partitionBy("ws").orderBy(F.desc("excess"), "start_ms"))
     return got.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).drop("_k")
 

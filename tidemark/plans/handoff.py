@@ -92,13 +92,13 @@ def xmeml_markers(spark, d):
     return exports.xmeml(s, NUM, DEN)
 
 
-@query("srt_cues", f"""WITH {TURNS}, r AS (SELECT ws, id, start_ms, end_ms, text FROM seg WHERE speaker = 'user' AND ws % 3 > 0 UNION ALL SELECT ws, id, start_ms, end_ms, text FROM seg WHERE speaker <> 'user' AND NOT EXISTS (SELECT 1 FROM seg s WHERE s.ws = seg.ws AND s.speaker = 'user' AND s.ws % 3 > 0 AND trim(s.text, e' \\t\\n\\r') <> '')),
+@query("srt_cues", f"""WITH {TURNS}, r AS (SELECT ws, id, start_ms, end_ms, text FROM seg WHERE speaker = 'user' UNION ALL SELECT ws, id, start_ms, end_ms, text FROM seg WHERE speaker <> 'user' AND NOT EXISTS (SELECT 1 FROM seg s WHERE s.ws = seg.ws AND s.speaker = 'user' AND trim(s.text, e' \\t\\n\\r') <> '')),
 o AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY id) AS ord FROM r WHERE trim(text, e' \\t\\n\\r') <> '')
 SELECT ws, ord, ord || chr(10) || {_clock('start_ms', ',')} || ' --> ' || {_clock('end_ms', ',')} || chr(10) || trim(text, e' \\t\\n\\r') || chr(10) AS block FROM o""")
 def srt_cues(spark, d):
-    """Speech is the user's turns of two workspaces in three, the others' turns fill in."""
+    """Speech is the user's turns; where a workspace has none, the others' turns fill in."""
     t = fx.turns(spark, d)
-    return exports.srt(t.where("speaker = 'user' and ws % 3 > 0"), t.where("speaker <> 'user'"))
+    return exports.srt(t.where("speaker = 'user'"), t.where("speaker <> 'user'"))
 
 
 @query("clock_forms", f"""WITH {TURNS}, m AS (SELECT ws, id, start_ms * 7 + 13 AS ms FROM seg), ff AS (SELECT *, {_clock('ms')} AS full_form FROM m), k AS (SELECT *, CASE WHEN ms < 3600000 THEN full_form[4:] ELSE ms // 3600000 || ':' || full_form[4:] END AS compact FROM ff)

@@ -165,9 +165,9 @@ def scene_adaptive(spark, d):
     return signals.scenes(fx.signals(spark, d), 50, 4900.2)
 
 
-@query("highlight_islands", f"""WITH {SERIES}, lv AS (SELECT ws, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.75) AS p75 FROM ser GROUP BY ws HAVING count(*) >= 4), ov AS (SELECT ser.*, median FROM ser JOIN lv ON ser.ws = lv.ws WHERE value >= greatest(p75, median + 3)),
+@query("highlight_islands", f"""WITH {SERIES}, l0 AS (SELECT ws, quantile_cont(value, 0.5) AS median, count(*) AS n, min(t_ms) AS lo, max(t_ms) AS hi FROM ser GROUP BY ws HAVING count(*) >= 4), rk AS (SELECT ws, value AS p75, row_number() OVER (PARTITION BY ws ORDER BY value) AS r FROM ser), lv AS (SELECT l0.*, p75 FROM l0 JOIN rk ON rk.ws = l0.ws AND r = CAST(floor(0.75 * (n - 1)) AS BIGINT) + 1), ov AS (SELECT ser.*, median, lo, hi FROM ser JOIN lv ON ser.ws = lv.ws WHERE value >= greatest(p75, median + 3)),
 o AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY ws ORDER BY i) <= 2 THEN 0 ELSE 1 END AS o FROM ov), k AS (SELECT *, sum(o) OVER (PARTITION BY ws ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o),
-g AS (SELECT ws, k, min(t_ms) - 40 AS start_ms, max(t_ms) + 80 AS end_ms, CAST(sum(CAST(round((value - median) * 100) AS BIGINT)) AS BIGINT) AS excess FROM k GROUP BY ws, k)
+g AS (SELECT ws, k, min(greatest(t_ms - 40, lo)) AS start_ms, max(least(t_ms + 40, hi)) + 40 AS end_ms, CAST(sum(CAST(round((value - median) * 100) AS BIGINT)) AS BIGINT) AS excess FROM k GROUP BY ws, k)
 SELECT ws, start_ms, end_ms, excess, rank FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY excess DESC, start_ms) AS rank FROM g) x WHERE rank <= 5""")
 def highlight_islands(spark, d):
     return signals.bursts(fx.signals(spark, d))
