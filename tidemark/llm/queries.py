@@ -17,4 +17,29 @@ QUERIES = {
     "op6_embeddings": embeddings.op6_embeddings,
 }
 
-SQL: dict[str, str] = {}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: 40 hexadecimal digits in base 32: five of them are four signs.
+BASE32 = " || ".join(
+    f"substr('{ALPHABET}', ((('0x' || substr(sha, {5 * (j // 4) + 1}, 5))::BIGINT >> {15 - 5 * (j % 4)}) & 31)::INT + 1, 1)" for j in range(32)
+)
+
+SQL: dict[str, str] = {
+    "op8_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, octet_length(encode(html)) AS size, sha1(html) AS sha FROM p),
+m AS (SELECT page_id, size, {BASE32} AS digest, max(page_id) OVER (PARTITION BY sha) AS last FROM s)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM m""",
+    "op6_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+sound AS (SELECT vec_id, e FROM v WHERE CASE WHEN len(e) > 0 AND list_count(e) = len(e) THEN isfinite(list_dot_product(e, e)) AND list_dot_product(e, e) > 0 ELSE false END),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a, sound b
+  WHERE a.vec_id <> b.vec_id AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT l.a AS vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, l.component_id, l.a = l.component_id AS kept
+FROM least l LEFT JOIN n ON n.a = l.a""",
+}
