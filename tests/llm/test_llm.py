@@ -9,13 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import oracle
 import pytest
 
 pytest.importorskip("tidemark.llm.bpe")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidemark.llm import bpe, common, counts, embeddings, packing, quality, secrets, simhash, substring, toxicity, warc  # noqa: E402
+from tidemark.llm import bpe, common, counts, embeddings, packing, quality, queries, secrets, simhash, substring, toxicity, warc  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 ODD = [None, "", " ", "  a  b ", "x\n y", "a \n b", "<|endoftext|> a<|endoftext|>", "ΣΑΣ İst ŉ ſ", "é é ́a", "a\x1cb \x85 \xa0x", "日本 テキ😀😀", "don't WE'LL 12 345", "z" * 6000, "ab" * 3000 + " q", "x ", " y"]
@@ -303,6 +304,15 @@ def test_toxicity_learns_and_scores_every_window(spark):
     assert len(got) == len(ODD) and all(0 <= x.score <= 1 for x in got)
 
 
+def test_bound_on_training_words_cuts_both_labels_alike(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 1000)
+    docs = frame(spark, [(i, "a " * 24 + "b") for i in range(2000)])
+    labels = frame(spark, [(i, int(i % 40 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    got, y, rate = toxicity.sampled(docs, labels)
+    assert len(got) == 40 and 12 <= sum(y) <= 28 and abs(rate - 0.025) < 0.01
+
+
 def test_long_words_are_read_to_their_ends():
     r = random.Random(13)
     assert toxicity.split("a" * 40) == ["a" * 40]
@@ -612,3 +622,9 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, tmp_path):
         now = common.staged(stage(spark, now, str(tmp_path)), "t")
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert now.where(F.contains("text", F.lit("abcdefgh12345"))).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert oracle.differences(queries.QUERIES[name](spark, sf).toPandas(), oracle.connection(sf).execute(queries.SQL[name]).df()) == ""
