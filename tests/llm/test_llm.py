@@ -532,6 +532,8 @@ COLUMNS = {
     "op4_simhash": "doc_id fingerprint component_id", "op5_toxicity": "doc_id held_out score predicted", "op6_embeddings": "vec_id n_links component_id kept",
     "op7_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_substring": "doc_id start end n_words component_id component_start copies kept", "op10_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified", "op12_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_mixing": "doc_id size source_size target taken",
 }
 
 

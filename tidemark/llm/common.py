@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule [^\x20\x09-\x0D]+, for Java and Python patterns.
@@ -260,3 +260,22 @@ def groups_by_file(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterat
             if e == len(names) or names[e] != names[s] or e - s >= most:
                 yield names[s], offsets[s:e], lengths[s:e]
                 s = e
+
+
+def ranked(df: DataFrame, by: list, sums: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows range-sorted by (g, *by) and written, and what each range holds of each group g (a string, never null).
+
+    The rows gain _row (ascending in the sorted order) and _part (the range). The second frame has a row for
+    each (g, _part): _first (the least _row), and of the row count `n` and each of `sums` the total before
+    this range (before_*) and in the whole group (all_*). A row's place in its group is
+    before_n + _row - _first. A group with most of the rows lies in many ranges, so no task takes it whole,
+    and the second frame has no more rows than ranges and groups together.
+    """
+    n = parts(df.sparkSession)
+    rows = df.repartitionByRange(n, "g", *by).sortWithinPartitions("g", *by).withColumn("_row", F.monotonically_increasing_id())
+    rows = staged(rows.withColumn("_part", F.shiftright("_row", 33)), "ranked")
+    per = rows.groupBy("g", "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    whole = Window.partitionBy("g")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("n", *sums)]
+    return rows, per.select("g", "_part", "_first", *counted, *(F.sum(c).over(whole).alias(f"all_{c}") for c in ("n", *sums)))
