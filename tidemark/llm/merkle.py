@@ -168,6 +168,7 @@ def manifest(leaves: DataFrame, group: str, by: list[str], leaf: str = "leaf") -
     made = ["at", "of", "group_root", "path", "root"]
     names, columns = plain(leaves, leaf, *made)
     named = leaves.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit("")).alias("g"), F.col(f"`{leaf}`").alias("leaf"), *columns)
+    named = staged(named, "leaves")  # the range sort reads its input twice
     low = tree(named, [*(f"c{names.index(c)}" for c in by), "leaf"])
     tops = low.roots.select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("root").alias("leaf"))
     high = tree(tops, ["name"])

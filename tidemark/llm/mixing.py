@@ -87,6 +87,7 @@ def mix(
         F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("g"), name.alias("source"), F.col(key).alias("key"), size.alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("-"))).cast("binary")).alias("order"), F.xxhash64(text).alias("tie"),
     )
+    told = staged(told, "sizes")  # the range sort reads its input twice
     rows, ranges = ranked(told, ["order", "key", "size", "tie"], ("size",))
     whole = staged(rows.groupBy("g", "source").agg(F.sum("size").alias("total")), "totals")
     goal = targets(whole.select("source", "total"), weights, most)
