@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from .bpe import byte_symbols, default_path
 from .common import parts, staged
 
 #: Characters of texts after which a block ends, and segments that are tokenised in one call.
-BLOCK_CHARS, CALL = 6_000_000, 4096
+BLOCK_CHARS, CALL = 24_000_000, 4096
 #: A pair with more than one in HEAVY of all links of distinct segments is joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 1024
 #: White space in any reading of Unicode, and characters that some reading takes for it: no split stands beside one that is not a break.
@@ -133,27 +134,43 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _pairs[path_a, path_b]
 
 
+def _shrunk(ids: np.ndarray) -> bytes:
+    """Numbers of segments, byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(1).compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _grown(coded: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(coded), np.uint8)
+    return raw.reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+def _batch(schema: list[tuple[str, pa.DataType]], **columns) -> pa.RecordBatch:
+    """A batch of these columns; the others of the schema are null."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in schema], names=[c for c, _ in schema])
+
+
+BLOCKS = [("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("segment", pa.string()), ("n", pa.int64()), ("key", pa.int64()), ("coded", pa.binary())]
+
+
 def _blocked(paths: tuple[str, str], chars: int):
-    """Blocks of texts: rows (block, place, segment, n) of segments and (block, key, texts as numbers of segments)."""
+    """Blocks of texts: rows (block, place, segment, n) of kind 0 and (block, key, texts as numbers of segments) of kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pair(*paths).segments
-        block, held, known, count, keys, coded = TaskContext.get().partitionId() << 32, 0, {}, [], [], []
+        block, held, known, names, count, keys, coded = TaskContext.get().partitionId() << 32, 0, {}, [], [], [], []
 
         def told() -> Iterator[pa.RecordBatch]:
             nonlocal block, held
-            n, m = len(known), len(keys)
-            seen = np.concatenate(count) if count else np.zeros(0, np.int32)
-            often = np.bincount(seen, minlength=n)
-            for s in range(0, n, 20_000):
-                e = min(n, s + 20_000)
-                yield made([block] * (e - s), list(range(s, e)), names[s:e], often[s:e].tolist(), None, None)
-            for s in range(0, m, 500):
-                yield made([block] * len(keys[s : s + 500]), None, None, None, keys[s : s + 500], coded[s : s + 500])
+            for s in range(0, len(names), 20_000):
+                part = names[s : s + 20_000]
+                yield _batch(BLOCKS, kind=[0] * len(part), block=[block] * len(part), place=range(s, s + len(part)), segment=part, n=count[s : s + 20_000])
+            for s in range(0, len(keys), 500):
+                part = keys[s : s + 500]
+                yield _batch(BLOCKS, kind=[1] * len(part), block=[block] * len(part), key=part, coded=coded[s : s + 500])
             block, held = block + 1, 0
             known.clear(), names.clear(), count.clear(), keys.clear(), coded.clear()
 
-        names: list[str] = []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = cut(text) if text else []
@@ -163,110 +180,149 @@ def _blocked(paths: tuple[str, str], chars: int):
                     if at is None:
                         at = known[s] = len(names)
                         names.append(s)
+                        count.append(0)
+                    count[at] += 1
                     ids[i] = at
-                count.append(ids)
                 keys.append(key)
-                coded.append(ids.tobytes())
+                coded.append(_shrunk(ids))
                 held += len(text or "") + 64
                 if held >= chars:
                     yield from told()
         if keys:
             yield from told()
 
-    def made(block, place, segment, n, key, coded) -> pa.RecordBatch:
-        size = len(block)
-        column = lambda v, t: pa.array(v, t) if v is not None else pa.nulls(size, t)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block, pa.int64()), column(place, pa.int32()), column(segment, pa.string()), column(n, pa.int64()), column(key, pa.int64()), column(coded, pa.binary())],
-            names=["block", "place", "segment", "n", "key", "coded"],
-        )
-
     return run
 
 
+SEGMENTS = [
+    ("kind", pa.int32()), ("sid", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("n_groups", pa.int32()),
+    ("groups", pa.string()), ("links", pa.list_(pa.int64())), ("block", pa.int64()), ("place", pa.int32()),
+]
+
+
 def _tokenised(paths: tuple[str, str]):
-    """Each segment's alignment: sizes, groups and links as pairs a << 32 | b; n_a null where bytes differ."""
+    """Rows (segment, block, place, n), sorted, become a row of kind 0 for each distinct segment, with a number, its
+    count in all blocks and its alignment (n_a null where bytes differ; links as a << 32 | b), and kind 1 for each place of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(*paths)
+        sid, at, total = (TaskContext.get().partitionId() << 32) - 1, None, 0
+        held: list[tuple[int, str, int]] = []
+
+        def told() -> pa.RecordBatch:
+            rows = []
+            texts = [t for _, t, _ in held]
+            for t, x, y in zip(texts, *p.encoded(texts), strict=True):
+                found = p.aligned(t, x, y)
+                rows.append((len(x), len(y), found[3], found[2], [i << 32 | j for i, j in zip(found[0], found[1], strict=True)]) if found else (None, None, None, None, []))
+            n_a, n_b, n_groups, groups, links = zip(*rows, strict=True)
+            return _batch(SEGMENTS, kind=[0] * len(held), sid=[k for k, _, _ in held], segment=texts, n=[n for _, _, n in held], n_a=n_a, n_b=n_b, n_groups=n_groups, groups=groups, links=links)
+
         for batch in batches:
-            for s in range(0, batch.num_rows, CALL):
-                b = batch.slice(s, CALL)
-                texts, rows = b.column(0).to_pylist(), []
-                for t, x, y in zip(texts, *p.encoded(texts), strict=True):
-                    found = p.aligned(t, x, y)
-                    if found is None:
-                        rows.append((None, None, None, None, []))
-                    else:
-                        rows.append((len(x), len(y), found[3], found[2], [i << 32 | j for i, j in zip(found[0], found[1], strict=True)]))
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["segment", "n", "n_a", "n_b", "n_groups", "groups", "links"])
+            sids = []
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if s != at:
+                    if at is not None:
+                        held.append((sid, at, total))
+                    sid, at, total = sid + 1, s, 0
+                total += n
+                sids.append(sid)
+            if sids:
+                yield _batch(SEGMENTS, kind=[1] * len(sids), sid=sids, block=batch.column(1), place=batch.column(2))
+            if len(held) >= CALL:
+                yield told()
+                held = []
+        if at is not None:
+            held.append((sid, at, total))
+            yield told()
 
     return run
 
 
-def _runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """('segments' | 'texts', batch) of sorted rows (block, place first, null place last), no batch over two blocks."""
+def _by_block(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(block, whether `mark` is null, batch) of rows sorted by block, null marks last; no batch over two of them."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        block, is_text = batch.column("block").to_numpy(), np.asarray(batch.column("place").is_null())
-        cut = np.flatnonzero((block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+        block, null = batch.column("block").to_numpy(), np.asarray(batch.column(mark).is_null())
+        cut = np.flatnonzero((block[1:] != block[:-1]) | (null[1:] != null[:-1])) + 1
         for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
-            yield ("texts" if is_text[s] else "segments"), batch.slice(s, e - s)
+            yield int(block[s]), bool(null[s]), batch.slice(s, e - s)
 
 
 def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each segment of a block stands in texts that hold a segment marked wrong."""
-    at, wrong, seen = None, set(), []
+    at, wrong, seen = None, [], []
 
-    def told():
+    def told() -> pa.RecordBatch:
         ids, n = np.unique(np.concatenate(seen), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array([at] * len(ids), pa.int64()), pa.array(ids, pa.int32()), pa.array(n, pa.int64())], names=["block", "place", "lost"])
+        return _batch([("block", pa.int64()), ("place", pa.int32()), ("lost", pa.int64())], block=[at] * len(ids), place=ids, lost=n)
 
-    for kind, b in _runs_of_blocks(batches):
-        here = b.column("block")[0].as_py()
+    for here, is_text, b in _by_block(batches, "place"):
         if here != at:
             if seen:
                 yield told()
-            at, wrong, seen = here, np.zeros(0, np.int32), []
-        if kind == "segments":
-            wrong = np.r_[wrong, b.column("place").to_numpy()]
-        else:
-            for x in b.column("coded").to_pylist():
-                ids = np.frombuffer(x, np.int32)
-                if np.isin(ids, wrong).any():
-                    seen.append(ids)
+            at, wrong, seen = here, [], []
+        if not is_text:
+            wrong += b.column("place").to_pylist()
+            continue
+        for x in b.column("coded").to_pylist():
+            ids = _grown(x)
+            if np.isin(ids, wrong).any():
+                seen.append(ids)
     if seen:
         yield told()
 
 
+NUMBERS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task knows of the segments of each block, sorted by block, as compressed rows: far smaller to shuffle."""
+    for block, _, b in _by_block(batches, "block"):
+        columns = [b.column("place").to_numpy().astype(np.int64)] + [b.column(c).cast(pa.int64()).fill_null(-1).to_numpy() for c in NUMBERS]
+        numbers = np.stack(columns).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+        groups = "\n".join([x or "" for x in b.column("groups").to_pylist()]).encode()
+        blob = zstandard.ZstdCompressor(3).compress(b"".join([len(b.column("place")).to_bytes(8, "little"), numbers, groups]))
+        yield _batch([("block", pa.int64()), ("packed", pa.binary())], block=[block], packed=[blob])
+
+
 def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of sorted blocks from the alignments of their segments."""
-    at, sums, told = None, [], []
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    for kind, b in _runs_of_blocks(batches):
-        here = b.column("block")[0].as_py()
+    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    kinds = [("key", pa.int64()), *((c, pa.int64()) for c in sums), ("groups_sha256", pa.string())]
+    at, parts_, table, told = None, [], np.zeros((0, len(NUMBERS)), np.int64), []
+    for here, is_text, b in _by_block(batches, "packed"):
         if here != at:
-            at, sums, told = here, [], []
-        if kind == "segments":
-            sums.append(np.stack([b.column(c).fill_null(-1).to_numpy() for c in names], axis=1))
-            told += b.column("groups").to_pylist()
+            at, parts_ = here, []
+        if not is_text:
+            for x in b.column("packed").to_pylist():
+                raw = zstandard.ZstdDecompressor().decompress(x)
+                m, wide = int.from_bytes(raw[:8], "little"), 1 + len(NUMBERS)
+                numbers = np.frombuffer(raw, np.uint8, m * wide * 8, 8).reshape(wide, 8, m).transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+                parts_.append((numbers, raw[8 + m * wide * 8 :].decode().split("\n")))
             continue
-        table = np.concatenate(sums) if sums else np.zeros((0, len(names)), np.int64)
-        sums = [table]
+        if parts_:
+            size = sum(len(groups) for _, groups in parts_)
+            table, told = np.zeros((size, len(NUMBERS)), np.int64), [""] * size
+            for numbers, groups in parts_:
+                table[numbers[0]] = numbers[1:].T
+                for place, g in zip(numbers[0].tolist(), groups, strict=True):
+                    told[place] = g
+            parts_ = []
         out, shas = [], []
         for x in b.column("coded").to_pylist():
-            ids = np.frombuffer(x, np.int32)
+            ids = _grown(x)
             rows = table[ids]
             if not len(ids) or (rows[:, 0] < 0).any():
-                out.append([0] * len(names))
+                out.append([0] * len(sums))
                 shas.append("")
             else:
-                out.append(rows.sum(axis=0).tolist())
+                n_a, n_b, n_groups, n_best, count_sum = rows.sum(axis=0).tolist()
+                # a group of i and j tokens has i + j - 1 links, as no two of its tokens end together but the last
+                out.append([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum])
                 shas.append(hashlib.sha256(";".join([told[i] for i in ids.tolist()]).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(shas, pa.string())], names=["key", *names, "groups_sha256"])
+        yield _batch(kinds, key=b.column("key"), groups_sha256=shas, **dict(zip(sums, zip(*out, strict=True), strict=True)))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -282,47 +338,51 @@ def aligned(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     Documents: (key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one for each row.
     A null or empty text, or one that either tokenizer does not give back byte for byte, has no tokens: zeros and
     an empty groups_sha256, and its links count nowhere. Repeated rows count as often as they are there. Pairs:
-    (pair = a << 32 | b, n, rows, best). Segments: (segment, n_a, n_b, n_groups, groups, links). Other columns are not read.
+    (pair = a << 32 | b, n, rows, best). Segments: (sid, segment, n, n_a, n_b, n_groups, groups, links). Other columns are not read.
     """
-    spark, paths, n = df.sparkSession, (path_a, path_b), parts(df.sparkSession)
-    schema = "block long, place int, segment string, n long, key long, coded binary"
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = staged(rows.mapInArrow(_blocked(paths, BLOCK_CHARS), schema), "blocks")
-    words, docs = rows.where("place is not null").select("block", "place", "segment", "n"), rows.where("place is null").select("block", "key", "coded")
-    distinct = words.groupBy("segment").agg(F.sum("n").alias("n"))
-    shape = "segment string, n long, n_a int, n_b int, n_groups int, groups string, links array<bigint>"
-    known = staged(distinct.repartition(n, "segment").mapInArrow(_tokenised(paths), shape), "segments")
-
-    wrong = known.where("n_a is null").select("segment")
+    paths, n = (path_a, path_b), parts(df.sparkSession)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_blocked(paths, BLOCK_CHARS), _ddl(BLOCKS))
+    rows = staged(rows, "blocks", ("kind",))
+    docs = rows.where("kind = 1").select("block", "key", "coded")
+    words = rows.where("kind = 0").select("segment", "block", "place", "n").repartition(n, "segment").sortWithinPartitions("segment", "block")
+    known = staged(words.mapInArrow(_tokenised(paths), _ddl(SEGMENTS)), "segments", ("kind",))
+    places = known.where("kind = 1").select("sid", "block", "place")
+    known = known.where("kind = 0").select("sid", "segment", "n", "n_a", "n_b", "n_groups", "groups", "links")
+
+    wrong = known.where("n_a is null").select("sid")
     if not wrong.isEmpty():  # their texts have no tokens: what else stands in them is taken off the counts
-        bad = staged(words.join(wrong, "segment").select("block", "place"), "wrong")
+        bad = staged(places.join(wrong, "sid").select("block", "place"), "wrong")
         around = docs.join(bad.select("block").distinct(), "block").select("block", F.lit(None).cast("int").alias("place"), "coded")
         both = bad.select("block", "place", F.lit(None).cast("binary").alias("coded")).unionByName(around)
         less = both.repartition(n, "block").sortWithinPartitions("block", F.col("place").asc_nulls_last()).mapInArrow(_lost, "block long, place int, lost long")
-        less = less.join(words, ["block", "place"]).groupBy("segment").agg(F.sum("lost").alias("lost"))
-        known = known.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
+        less = less.join(places, ["block", "place"]).groupBy("sid").agg(F.sum("lost").alias("lost"))
+        known = known.join(less, "sid", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
         known = staged(known, "segments")
 
-    linked = known.select("segment", "n", F.explode("links").alias("pair"))
-    pairs = staged(pair_counts(linked.select("pair", "n").where("n > 0")), "pairs")
+    linked = known.where("n > 0").select("sid", "n", F.explode("links").alias("pair"))
+    pairs = staged(pair_counts(linked.select("pair", "n")), "pairs")
     total = pairs.agg(F.sum("rows")).collect()[0][0] or 0
     heavy = F.col("rows") * HEAVY > total
     often = F.broadcast(pairs.where(heavy).select("pair", F.col("n").alias("often"), F.col("best").alias("often_best")))
-    marked = linked.where("n > 0").select("segment", "pair").join(often, "pair", "left")
-    rest = marked.where("often is null").select("segment", "pair").join(pairs.where(~heavy).select("pair", "n", "best"), "pair")
-    counted = marked.where("often is not null").select("segment", F.col("often").alias("n"), F.col("often_best").alias("best")).unionByName(rest.select("segment", "n", "best"))
-    counted = counted.groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    full = known.select("segment", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(counted, "segment", "left")
-
-    sums = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    none = lambda t: F.lit(None).cast(t)
-    back = words.select("block", "place", "segment").join(full, "segment").select("block", "place", *sums, "groups", none("long").alias("key"), none("binary").alias("coded"))
-    texts = docs.select("block", none("int").alias("place"), *(none("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), none("string").alias("groups"), "key", "coded")
-    dealt = back.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
+    marked = linked.select("sid", "pair").join(often, "pair", "left")
+    rest = marked.where("often is null").select("sid", "pair").join(pairs.where(~heavy).select("pair", "n", "best"), "pair")
+    counted = marked.where("often is not null").select("sid", F.col("often").alias("n"), F.col("often_best").alias("best")).unionByName(rest.select("sid", "n", "best"))
+    counted = staged(counted.groupBy("sid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum")), "counted")
+
+    full = known.select("sid", "n_a", "n_b", "n_groups", "groups").join(counted, "sid", "left")
+    back = places.join(full, "sid").select("block", "place", *NUMBERS, "groups").sortWithinPartitions("block").mapInArrow(_packed, "block long, packed binary")
+    back = back.select("block", "packed", F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("coded"))
+    dealt = back.unionByName(docs.select("block", F.lit(None).cast("binary").alias("packed"), "key", "coded"))
+    dealt = dealt.repartition(n, "block").sortWithinPartitions("block", F.col("packed").isNull())
     out = dealt.mapInArrow(_composed, "key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("key", key), pairs, known
 
 
+def _ddl(schema: list[tuple[str, pa.DataType]]) -> str:
+    told = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
+    return ", ".join(f"{c} {told[t]}" for c, t in schema)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in two vocabularies, aligned by bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -27,11 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns it reread: a cut lineage that survives lost executors."""
+def staged(df: DataFrame, name: str, folders: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df as Parquet in the shared folder and returns it reread: a cut lineage that survives lost executors.
+
+    Rows are laid in folders by the columns `folders`, of few values, which a filter then reads alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     spark._jvm.System.gc()  # the shuffles behind the written rows are garbage; executors delete their files when the driver notices
     return spark.read.schema(df.schema).parquet(path)
 
