@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,15 +29,26 @@ from .retrieval import B, FAMILIES, K1, LEAST_IDF, RRF
 MOST = 8
 COLUMNS = ["ws", "source", "family", "start", "end", "text", "is_window", "members"]
 PLACE = "doc bigint, ws bigint, source string, family string, start bigint, end bigint, is_window boolean"
-KINDS = {"docs": PLACE + ", text string, members array<struct<start:bigint,end:bigint,text:string>>", "words": PLACE + ", size bigint, token string, tf bigint", "grams": PLACE + ", size bigint, gram string, pos array<int>"}
+KINDS = {"docs": PLACE + ", text string, members array<struct<start:bigint,end:bigint,text:string>>", "words": PLACE + ", size bigint, token string, pos array<int>", "grams": PLACE + ", size bigint, gram string, pos array<int>"}
 MEMBER = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
-@F.pandas_udf(T.StringType())
-def folded(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Lower-cased text without diacritics, as word postings see it."""
+#: A word: letters and digits.
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType()))])))
+def placed_words(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Distinct words of a folded text with their places among its words; counted within the row, nothing is shuffled."""
+
+    def one(t: str) -> list[dict]:
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(words_of(t)):
+            at.setdefault(w, []).append(i)
+        return [{"token": w, "pos": p} for w, p in at.items()]
+
     for s in text:
-        yield s.map(fold, na_action="ignore")
+        yield s.map(one)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType()))])))
@@ -54,11 +66,13 @@ def trigrams(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+    """Lower case without diacritics, as word postings see it."""
+    text = text.lower()
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
 def words_of(text: str) -> list[str]:
-    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in fold(text)).split()
+    return WORD.findall(fold(text))
 
 
 def collected(segments: DataFrame, checkpoints: DataFrame, screen: DataFrame) -> DataFrame:
@@ -127,7 +141,7 @@ def sync(docs: DataFrame, folder: str) -> int:
     if not count:
         return 0
     _written(docs.join(changed, "ws", "left_semi"), f"{folder}/{gen}", buckets)
-    part = spark.read.schema(KINDS["words"]).parquet(f"{folder}/{gen}/words").groupBy("ws").agg(F.sum("tf").alias("size"))
+    part = spark.read.schema(KINDS["words"]).parquet(f"{folder}/{gen}/words").groupBy("ws").agg(F.sum(F.size("pos")).alias("size"))
     sums = spark.read.parquet(f"{folder}/{gen}/docs").groupBy("ws").agg(F.sum(F.greatest(F.length(F.lower("text")) - 2, F.lit(0))).alias("tri"))
     sums = sums.join(part, "ws", "left").select("ws", F.coalesce("size", F.lit(0)).alias("size"), "tri")
     fresh = now.join(changed, "ws", "left_semi").join(sums, "ws").select("ws", F.lit(gen).alias("gen"), "n", "fp", "size", "tri")
@@ -140,9 +154,9 @@ def _written(docs: DataFrame, at: str, buckets: int) -> None:
     docs.repartition(buckets, "doc").sortWithinPartitions("doc").write.parquet(f"{at}/docs")
     docs = docs.sparkSession.read.schema(docs.schema).parquet(f"{at}/docs")
     place = ["doc", "ws", "source", "family", "start", "end", "is_window"]
-    tokens = F.filter(F.split(folded(F.col("text")), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    word = docs.select(*place, tokens.alias("_t")).select(*place, F.explode("_t").alias("token")).groupBy(*place, "token").agg(F.count("*").alias("tf"))
-    word = word.withColumn("size", F.sum("tf").over(W.partitionBy("doc")))  # a document's own tokens
+    own = docs.select(*place, placed_words("text").alias("t"))
+    size = F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x["pos"])).cast("long")  # all words of the document
+    word = own.select(*place, size.alias("size"), F.explode("t").alias("t")).select(*place, "size", "t.token", "t.pos")
     kept(word, "token", buckets, f"{at}/words")
     low = F.lower("text")
     gram = docs.select(*place, F.greatest(F.length(low) - 2, F.lit(0)).cast("long").alias("size"), F.explode(trigrams(low)).alias("g"))
@@ -156,16 +170,24 @@ def folder_of(key: str, buckets: int) -> int:
 
 
 def kept(df: DataFrame, key: str, buckets: int, at: str) -> None:
-    """Postings in a folder for each hash of the first two characters of their key, sorted; a frequent beginning is spread over files."""
-    df = df.withColumn("p", F.pmod(F.xxhash64(F.substring(key, 1, 2)), F.lit(buckets)).cast("int"))
-    df.repartition(buckets, "p", F.substring(key, 1, 3)).sortWithinPartitions("p", key, "doc").write.partitionBy("p").parquet(at)
+    """Postings in a folder for each hash of the first two characters of their key, range-sorted by key and document.
+
+    Ranges have even sizes, so a key that most documents have is split by documents, and a folder has as few files as
+    its rows need. The postings are written before the sort, which reads them twice.
+    """
+    spark, raw = df.sparkSession, f"{at}-raw"
+    df.withColumn("p", F.pmod(F.xxhash64(F.substring(key, 1, 2)), F.lit(buckets)).cast("int")).write.parquet(raw)
+    rows = spark.read.parquet(raw)
+    rows.repartitionByRange(buckets, "p", key, "doc").sortWithinPartitions("p", key, "doc").write.partitionBy("p").parquet(at)
+    fs, path = _path(spark, raw)
+    fs.delete(path, True)
 
 
 class Index:
     """The newest manifest's state of an index folder, to be asked."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.held = spark, folder, []
         self.manifest = spark.read.parquet(manifests(spark, folder)[-1])
         sums = self.manifest.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("tri").alias("tri"), F.collect_set("gen").alias("gens")).collect()[0]
         self.n, self.words, self.grams = sums.n or 0, float(sums["size"] or 0) / max(sums.n or 0, 1), float(sums.tri or 0) / max(sums.n or 0, 1)
@@ -199,6 +221,8 @@ class Index:
     def _scored(self, hits: DataFrame, k: int, mean: float, pool: int, windows: bool) -> DataFrame:
         """BM25 of rows with places, size and f0.., one for each document with any of k phrases; ranked."""
         df = [F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(k)]
+        hits = hits.persist()  # counted and ranked; given back when the query ends
+        self.held.append(hits)
         counts = hits.agg(*df).collect()[0]  # k numbers
         score = F.lit(0.0)
         for i in range(k):
@@ -209,17 +233,33 @@ class Index:
         return self._ranked(both.withColumn("score", F.round(score, 6)), pool, windows)
 
     def by_words(self, terms: list[str], pool: int, windows: bool) -> DataFrame | None:
-        """Documents in which each term begins some word; a term of several words asks for each, the last as a beginning."""
-        keys = [(w, i == len(ws) - 1) for ws in map(words_of, terms) for i, w in enumerate(ws)]
-        if not keys:
+        """Documents that hold each term as a phrase: its words one after the other, the last as the beginning of one.
+
+        A document's places of the words are shifted to the phrase's beginning and intersected in order, so a
+        phrase counts as often as it stands there, and its rarity is that of the phrase, not of its words.
+        """
+        phrases = [ws for ws in map(words_of, terms) if ws]
+        if not phrases:
             return None
-        fits = [F.startswith("token", F.lit(w)) if begin else F.col("token") == w for w, begin in keys]
-        any_ = fits[0]
-        for f in fits[1:]:
+        fits = [[F.startswith("token", F.lit(w)) if i == len(ws) - 1 else F.col("token") == w for i, w in enumerate(ws)] for ws in phrases]
+        any_ = F.lit(False)
+        for f in (f for own in fits for f in own):
             any_ = any_ | f
-        p = self.table("words", [w for w, _ in keys]).where(any_)
-        own = [F.coalesce(F.sum(F.when(f, F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, f in enumerate(fits)]
-        p = p.groupBy("doc").agg(*(F.first(c).alias(c) for c in ("ws", "source", "family", "start", "end", "is_window", "size")), *own)
+        p = self.table("words", [w for ws in phrases for w in ws]).where(any_)
+        place = [F.first(c).alias(c) for c in ("ws", "source", "family", "start", "end", "is_window", "size")]
+        own = []
+        for k, part in enumerate(fits):
+            if len(part) == 1:
+                own.append(F.coalesce(F.sum(F.when(part[0], F.size("pos"))), F.lit(0)).cast("long").alias(f"f{k}"))
+            else:
+                own += [F.flatten(F.collect_list(F.when(f, F.col("pos")))).alias(f"a{k}_{i}") for i, f in enumerate(part)]
+        p = p.groupBy("doc").agg(*place, *own)
+        for k, part in enumerate(fits):
+            if len(part) > 1:
+                at = F.col(f"a{k}_0")
+                for i in range(1, len(part)):
+                    at = F.array_intersect(at, F.transform(f"a{k}_{i}", _less(i)))
+                p = p.withColumn(f"f{k}", F.size(at).cast("long")).drop(*(f"a{k}_{i}" for i in range(len(part))))
         return self._scored(p, len(fits), self.words, pool, windows)
 
     def by_grams(self, terms: list[str], pool: int, windows: bool) -> DataFrame | None:
@@ -330,5 +370,7 @@ def search(index: Index, query: str, top: int = 10) -> DataFrame:
     for h in (h for hs in hits.values() for h in hs):
         h["members"] = texts[h["doc"]][1] if h["is_window"] else None
     best = fused([resolved(h, terms) for h in hits.values() if h], top)
+    while index.held:
+        index.held.pop().unpersist()
     rows = [(*_place(h)[:2], h["family"], h["start"], h["end"], round(h["score"], 4)) for h in best]
     return index.spark.createDataFrame(rows, schema)

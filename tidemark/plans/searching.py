@@ -42,10 +42,12 @@ dc AS (SELECT ws, 'transcript' AS source, 'transcript' AS family, s, e, text, fa
 tk AS (SELECT *, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS toks, greatest(length(lower(text)) - 2, 0) AS tri, lower(text) AS low FROM dc)"""
 
 
-def _two(name: str, a: str, b: str, size: str) -> str:
+def _scored(name: str, terms: list[str], size: str, where: str = "true") -> str:
+    """BM25 over the documents in which every term occurs; each term an expression that counts it."""
     f = "greatest(1e-6, ln((n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE))) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {s} / mean))"
-    return f"""{name}f AS (SELECT *, {a} AS f0, {b} AS f1 FROM tk), {name}s AS (SELECT count(*) AS n, sum({size})::DOUBLE / count(*) AS mean, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM {name}f),
-{name}b AS (SELECT {name}f.*, round({f.format(i=0, s=size)} + {f.format(i=1, s=size)}, 6) AS score FROM {name}f, {name}s WHERE f0 > 0 AND f1 > 0),
+    own = range(len(terms))
+    return f"""{name}f AS (SELECT *, {", ".join(f"{t} AS f{i}" for i, t in enumerate(terms))} FROM tk), {name}s AS (SELECT count(*) AS n, sum({size})::DOUBLE / count(*) AS mean, {", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in own)} FROM {name}f),
+{name}b AS (SELECT {name}f.*, round({" + ".join(f.format(i=i, s=size) for i in own)}, 6) AS score FROM {name}f, {name}s WHERE {" AND ".join(f"f{i} > 0" for i in own)} AND {where}),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, ws, source, s, e) AS rank FROM {name}b) x WHERE rank <= 40)"""
 
 
@@ -59,11 +61,17 @@ def _holds(t: str, c: str = "low") -> str:
 
 A, Z = "tion", "ing"
 #: No term overlaps itself, so that counting by replacement counts all its places.
-RANKED = f"""{_two('wd', _begins(A), _begins(Z), 'len(toks)')}, {_two('tr', _holds(A), _holds(Z), 'tri')},
-bt AS (SELECT family, (SELECT count(*) FROM wd WHERE wd.family = f.family) > 0 AS w, (SELECT count(*) FROM tr WHERE tr.family = f.family) > 0 AS t FROM (VALUES ('understanding'), ('screen'), ('transcript')) f(family)),
+FUSED = """bt AS (SELECT family, (SELECT count(*) FROM wd WHERE wd.family = f.family) > 0 AS w, (SELECT count(*) FROM tr WHERE tr.family = f.family) > 0 AS t FROM (VALUES ('understanding'), ('screen'), ('transcript')) f(family)),
 un AS (SELECT wd.family, ws, source, s, e, text, mem, rank FROM wd UNION ALL SELECT tr.family, ws, source, s, e, text, mem, rank FROM tr),
 fu AS (SELECT family, ws, source, s, e, any_value(text) AS text, any_value(mem) AS mem, sum(1.0::DOUBLE / (60 + rank)) AS sc FROM un GROUP BY family, ws, source, s, e),
 ft AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(sc, 12) DESC, ws, source, s, e) AS pos FROM fu), fh AS (SELECT * FROM ft WHERE pos <= 40)"""
+
+
+def _ranked(words: list[str], texts: list[str], where: str = "true") -> str:
+    return f"{_scored('wd', words, 'len(toks)', where)}, {_scored('tr', texts, 'tri', where)},\n{FUSED}"
+
+
+RANKED = _ranked([_begins(A), _begins(Z)], [_holds(A), _holds(Z)])
 FINAL = """rs AS (SELECT family, ws, pos, CASE WHEN mem IS NULL THEN source ELSE 'transcript' END AS source, CASE WHEN mem IS NULL THEN s ELSE b.s END AS s, CASE WHEN mem IS NULL THEN e ELSE b.e END AS e
   FROM (SELECT *, CASE WHEN mem IS NOT NULL THEN list_reduce(mem, lambda x, y: CASE WHEN {cy} > {cx} THEN y ELSE x END) END AS b FROM fh) y),
 dd AS (SELECT family, ws, source, s, e, min(pos) AS pos FROM rs GROUP BY family, ws, source, s, e), rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY pos) AS r FROM dd)
@@ -81,6 +89,27 @@ def search_(spark, d):
     return search.search(index(spark, d), f"{A} {Z}", 10)
 
 
+PHRASES = ["the-of", "And-TH"]
+
+
+def _phrase(t: str) -> str:
+    """Places at which the words of t stand one after the other, the last as the beginning of one."""
+    a, b = t.lower().split("-")
+    return f"len(list_filter(range(1, len(toks)), lambda i: toks[i] = '{a}' AND starts_with(toks[i + 1], '{b}')))"
+
+
+@query("search_phrases", f"WITH {DOC}, {_ranked([_phrase(t) for t in PHRASES], [_holds(t.lower()) for t in PHRASES])}, {_final(*PHRASES)}")
+def search_phrases(spark, d):
+    """Terms of several words are phrases, found by the places of their words."""
+    return search.search(index(spark, d), " ".join(PHRASES), 10)
+
+
+@query("search_single", f"WITH {DOC}, {_ranked([_begins(A)], [_holds(A)], 'NOT win')}, {_final(A)}")
+def search_single(spark, d):
+    """A single term asks no windows."""
+    return search.search(index(spark, d), A, 10)
+
+
 COV = ["enti", "athawh", "thhe", "zzz"]
 _LOW = [f"CAST(contains(low, '{t}') AS BIGINT)" for t in COV]
 
