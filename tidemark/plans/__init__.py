@@ -1 +1 @@
-from . import handoff, knowledge, searching, verification  # noqa: F401  (their queries join the registry)
+from . import handoff, knowledge, searching, streams, verification  # noqa: F401  (their queries join the registry)

@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .line_source import numbered, refuse
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+
+def jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of JSONL files; rows carry file and line number, a line that is no object is a reject.
 
-    Whole files are read as text and cut at line feeds, so that line numbers hold; types are checked
-    against the variant itself, for a true is no number here.
+    Files are read in byte ranges (line_source.numbered); blank lines count as lines but are neither. Types are checked
+    against the variant itself, for a true is no number here; broken UTF-8 is a reject. Strictly, a file that has lines but
+    no valid one raises.
     """
-    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw")).where("trim(raw) <> ''")
-    lines = lines.select("file", (F.col("line") + 1).cast("long").alias("line_no"), "raw", F.try_parse_json("raw").alias("v"))
+    lines = numbered(spark, path).where(F.trim(F.col("raw")) != "")
+    lines = lines.select("file", "line_no", "raw", F.when(F.is_valid_utf8("raw"), F.try_parse_json("raw")).alias("v"))
     ok = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     for f in schema.fields:
         if isinstance(f.dataType, T.DoubleType | T.LongType):
             kind = F.schema_of_variant(F.expr(f"try_variant_get(v, '$.{f.name}', 'variant')"))
             ok = ok & F.coalesce(~kind.isin("BOOLEAN", "STRING"), F.lit(True))
+    if strict:
+        refuse(lines.groupBy("file").agg(F.count_if(ok).alias("n")).where("n = 0"), "no valid line")
     fields = [F.expr(f"try_variant_get(v, '$.{f.name}', '{f.dataType.simpleString()}')").alias(f.name) for f in schema.fields]
     return lines.where(ok).select("file", "line_no", *fields), lines.where(~ok).select("file", "line_no", "raw")
 
