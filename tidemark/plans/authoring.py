@@ -87,8 +87,8 @@ def markdown_integrity(spark, d):
 
 
 @query("alias_groups", r"""WITH RECURSIVE l AS (SELECT DISTINCT p_name || ' ' || p_type || ' (' || p_brand || ')' AS label FROM part),
-t AS (SELECT row_number() OVER (ORDER BY label) AS i, label, list_distinct(list_filter(regexp_split_to_array(regexp_replace(label, '\([^)]*\)', ' ', 'g'), '\s+'), lambda w: w <> '')) AS t FROM l),
-s AS (SELECT y.i, list(x.i) AS near FROM t x JOIN t y ON x.i < y.i AND len(list_intersect(x.t, y.t)) * 2 >= len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) GROUP BY y.i),
+t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY label) AS i, label, list_distinct(list_filter(regexp_split_to_array(regexp_replace(label, '\([^)]*\)', ' ', 'g'), '\s+'), lambda w: w <> '')) AS t FROM l),
+s AS MATERIALIZED (SELECT y.i, list(x.i) AS near FROM t x JOIN t y ON x.i < y.i AND len(list_intersect(x.t, y.t)) * 2 >= len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) GROUP BY y.i),
 r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS lead, []::BIGINT[] AS leaders
   UNION ALL SELECT i, lead, CASE WHEN lead = i THEN list_append(leaders, i) ELSE leaders END
   FROM (SELECT r.i + 1 AS i, coalesce(list_min(list_intersect(s.near, leaders)), r.i + 1) AS lead, leaders FROM r LEFT JOIN s ON s.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM t)) x)
@@ -126,8 +126,8 @@ BASES = {"click": (1001, 30000), "view": (1, 25), "purchase": (1, 90000), "signu
 
 @query("canonical_spans", f"""WITH s AS (SELECT event_id, value / 3 AS a, value / 3 + (value - floor(value)) * 20 - 1 AS b, 150::DOUBLE AS dur, user_id AS origin,
   CASE event_type {' '.join(f"WHEN '{k}' THEN {n}" for k, (n, _) in BASES.items())} END::BIGINT AS num, CASE event_type {' '.join(f"WHEN '{k}' THEN {m}" for k, (_, m) in BASES.items())} END::BIGINT AS den FROM events),
-c AS (SELECT *, CASE WHEN num <= 0 THEN 'base' WHEN NOT (a >= 0 AND a < b) THEN 'order' WHEN b > dur THEN 'bounds' END AS code, CAST(a::VARCHAR::DECIMAL(24,12) * 1000000000000 AS HUGEINT) AS ua, CAST(b::VARCHAR::DECIMAL(24,12) * 1000000000000 AS HUGEINT) AS ub FROM s),
-p AS (SELECT *, CASE WHEN code IS NULL THEN ua * den // (num * 1000000000000::HUGEINT) END AS pa, CASE WHEN code IS NULL THEN (ub * den + num * 1000000000000::HUGEINT - 1) // (num * 1000000000000::HUGEINT) END AS pb FROM c)
+c AS (SELECT *, CASE WHEN num <= 0 THEN 'base' WHEN NOT (a >= 0 AND a < b) THEN 'order' WHEN b > dur THEN 'bounds' END AS code, (split_part(a::VARCHAR, '.', 1) || rpad(split_part(a::VARCHAR, '.', 2), 18, '0'))::HUGEINT AS ua, (split_part(b::VARCHAR, '.', 1) || rpad(split_part(b::VARCHAR, '.', 2), 18, '0'))::HUGEINT AS ub FROM s),
+p AS (SELECT *, CASE WHEN code IS NULL THEN ua * den // (num * 1000000000000000000::HUGEINT) END AS pa, CASE WHEN code IS NULL THEN (ub * den + num * 1000000000000000000::HUGEINT - 1) // (num * 1000000000000000000::HUGEINT) END AS pb FROM c)
 SELECT event_id, code, (origin + pa)::BIGINT AS start_pts, (origin + pb)::BIGINT AS end_pts, pa::DOUBLE * num / den AS start_s, CASE WHEN pb IS NOT NULL THEN least(dur, pb::DOUBLE * num / den) END AS end_s FROM p""")
 def canonical_spans(spark, d):
     """Spans of events on the time base of their type."""
