@@ -127,17 +127,29 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """df with each secret of its texts replaced by <kind>; overlapping spans are one replacement.
 
-    Columns and rows stay as they are, whatever their keys: each row is cut by its own spans.
+    Columns and rows stay as they are, whatever their names and keys: each row is cut by its own spans. A text is cut in as many
+    stretches as a stretch has spans, so that no span walks the whole text: with m spans the work is that of the root of m
+    passes over it.
     """
-    found = scan(df.withColumn("_copy", F.col(text)).withColumn("_whole", F.struct(*df.columns)).select("_copy", "_whole"), "_copy")
-    own = F.col(f"_whole.`{text}`")
+    found = scan(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_whole"), F.col(f"`{text}`").alias("_copy")), "_copy")
+    own, n = F.col(f"_whole.`{text}`"), F.ceil(F.sqrt(F.size("found"))).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("found", i * n + 1, n))
+    stretches = F.filter(stretches, lambda b: F.size(b) > 0)
+    tops = F.transform(stretches, lambda b: F.array_max(F.transform(b, lambda x: x["e"])))
+    # where each stretch begins: behind all spans before it, whichever reaches farthest
+    begins = F.aggregate(tops, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.greatest(F.element_at(a, -1), t))))
 
-    def cut(a, x):
-        skip = x["s"] < a["p"]
-        piece = F.concat(a["o"], F.substring(own, a["p"] + 1, x["s"] - a["p"]), F.lit("<"), x["kind"], F.lit(">"))
-        return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.when(skip, a["o"]).otherwise(piece).alias("o"))
+    def cut(z):
+        here = F.substring(own, z["p"] + 1, z["q"] - z["p"])
 
-    done = F.aggregate("found", F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), cut)
-    new = F.concat(done["o"], F.substring(own, done["p"] + 1, F.length(own)))
+        def one(a, x):
+            piece = F.concat(a["o"], F.substring(a["t"], a["p"] - z["p"] + 1, x["s"] - a["p"]), F.lit("<"), x["kind"], F.lit(">"))
+            return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.when(x["s"] < a["p"], a["o"]).otherwise(piece).alias("o"), a["t"].alias("t"))
+
+        return F.aggregate(z["b"], F.struct(z["p"].alias("p"), F.lit("").alias("o"), here.alias("t")), one, lambda a: a["o"])
+
+    zipped = F.arrays_zip(stretches.alias("b"), F.slice(begins, F.lit(1), F.size(stretches)).alias("p"), F.slice(begins, F.lit(2), F.size(stretches)).alias("q"))
+    new = F.concat(F.array_join(F.transform(zipped, cut), ""), F.substring(own, F.array_max(begins) + 1, F.length(own)))
     new = F.when(F.size("found") == 0, own).otherwise(new)
-    return found.select(*(new.alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in df.columns))
+    done = found.select("_whole", new.alias("_new"))
+    return done.select(*(F.col("_new").alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in df.columns))

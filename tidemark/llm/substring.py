@@ -17,10 +17,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bucket_links, components, dropped, parts, staged, with_last
 
@@ -279,7 +281,8 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
     wanted = colliding.select("h").distinct()
     # grouped before it is joined, as one paragraph may have a third of all rows
     where = pieces.groupBy("h").agg(F.min("key").alias("key")).join(wanted, "h")
-    of = source.join(where.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "h long, shingles array<long>")
+    some = where.select(F.col("key").alias("k")).distinct()  # the null key too: a paragraph may stand under no other
+    of = source.join(some, F.col("key").eqNullSafe(F.col("k")), "left_semi").mapInArrow(sets, "h long, shingles array<long>")
     of = staged(of.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def similar(block: list[np.ndarray], other: list[np.ndarray] | None) -> list[tuple[int, int]]:
@@ -325,7 +328,7 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", recall: f
         F.col("low.key").alias("component_id"),
         F.col("low.start").alias("component_start"),
         "copies",
-        ((F.col("key") == F.col("low.key")) & (F.col("start") == F.col("low.start"))).alias("kept"),
+        (F.col("key").eqNullSafe(F.col("low.key")) & (F.col("start") == F.col("low.start"))).alias("kept"),
     )
 
 
@@ -535,17 +538,33 @@ def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return duplicates(df, key, text).unionByName(runs(df, key, text))
 
 
-def removed(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the paragraphs of found that are not kept cut out of its texts, columns as they were."""
-    cuts = found.where("not kept").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
+@F.pandas_udf(T.StringType())
+def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Texts without the ranges that cut them, in one pass."""
+
+    def one(text: str, cuts: list) -> str:
+        at, out = 0, []
+        for c in cuts:
+            out.append(text[at : max(at, c["start"])])
+            at = max(at, c["end"])
+        return "".join(out) + text[at:]
+
+    for texts, cuts in parts:
+        yield pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    def piece(a, x):
-        return F.struct(F.greatest(a["p"], x["end"]).alias("p"), F.concat(a["o"], F.array(F.substring(F.col(text), a["p"] + 1, F.greatest(x["start"] - a["p"], F.lit(0))))).alias("o"))
 
-    done = F.aggregate("_cuts", F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o")), piece)
-    new = F.concat(F.array_join(done["o"], ""), F.substring(F.col(text), done["p"] + 1, F.length(text)))
-    joined = df.join(cuts, key, "left")
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(new)).select(*df.columns)
+def removed(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with the passages of found that are not kept cut out of its texts; columns as they were, whatever their names.
+
+    Passages are cut by key, so rows of one key must be one document; a row without a key is left as it is.
+    """
+    cuts = found.where("not kept").groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    rows = df.select(F.col(f"`{key}`").alias("k"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    joined = rows.join(cuts, "k", "left")
+    own = F.col(f"row.`{text}`")
+    cut = joined.where(F.col("cuts").isNotNull() & own.isNotNull()).select("row", _without(own, "cuts").alias("new"))
+    whole = joined.where(F.col("cuts").isNull() | own.isNull()).select("row", own.alias("new"))
+    return whole.unionByName(cut).select(*(F.col("new").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:
