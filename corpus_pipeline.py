@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, quality, secrets, simhash, substring
-from tidemark.llm.common import staged
+from tidemark.llm.common import ranked, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = ["_row1", "_row2"]
@@ -36,9 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(first, ROW, "left_semi").select(*COLUMNS).dropDuplicates()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each: the id where ids tell rows apart, else the place in the order of ids
+    and all columns. Equal input gives equal numbers, however its rows were written."""
+    rows = docs.select(*COLUMNS)
+    if rows.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return rows.withColumn("_row", F.col("doc_id").cast("long"))
+    placed, _ = ranked(keyed(rows).withColumn("g", F.lit("")), ["doc_id", *ROW])
+    return placed.select(*COLUMNS, "_row")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of which an earlier copy stays; a text of nothing else goes."""
-    rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs)
     found = staged(substring.passages(rows, "_row"), "repeats")
     cut = substring.removed(rows, found, "_row").select(*COLUMNS)
     return cut.where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("n_chars", F.length("text").cast("long"))
