@@ -74,9 +74,18 @@ def merged_images(events: DataFrame) -> DataFrame:
     )
 
 
-def image_counts(records: DataFrame) -> DataFrame:
-    """Conditional counts over merged records."""
-    return records.agg(F.count("*").alias("images"), F.count_if("tracked").alias("tracked"), F.count_if(F.col("score").isNotNull()).alias("scored"), F.count_if(F.col("causes") > 1).alias("multi_cause"), F.count_if(~F.col("tracked")).alias("inventory_only"))
+def image_counts(records: DataFrame, links: DataFrame) -> DataFrame:
+    """Counts over records (image_id, path, exists, tracked, causes): all, available, tracked and not, those that a
+    checkpoint links (links: image, by path or id), their causes, and those of unknown cause."""
+    named = links.select("image").distinct()
+    by = lambda c: records.select("image_id", F.col(c).cast("string").alias("image")).join(named, "image", "left_semi").select("image_id")
+    linked = by("path").union(by("image_id")).distinct().withColumn("linked", F.lit(True))
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    causes = F.coalesce("causes", F.lit(0))
+    return records.join(linked, "image_id", "left").agg(
+        F.count("*").alias("images"), F.count_if("exists").alias("available_images"), F.count_if("tracked").alias("tracked_images"), F.count_if(no("tracked")).alias("legacy_untracked_images"),
+        F.count_if("linked").alias("checkpoint_linked_images"), F.coalesce(F.sum(causes), F.lit(0)).alias("causal_edges"), F.count_if(causes == 0).alias("unknown_inventory_links"),
+    )
 
 
 def top_share(counts: DataFrame, by: str, value: str, limit: int) -> DataFrame:

@@ -67,8 +67,16 @@ def departures(samples: DataFrame) -> DataFrame:
     return left.select("ws", F.col("p_t").alias("before_t"), F.col("t").alias("after_t"), sure.alias("verified"), reason.alias("reason"))
 
 
-def uncertainty(samples: DataFrame, duration: int) -> DataFrame:
-    """unobserved edges and runs of uncertain samples of each workspace; of equal bounds the last reason."""
+def unobserved(samples: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Workspaces (ws) without a sample."""
+    return workspaces.select("ws").distinct().join(samples.select("ws").distinct(), "ws", "left_anti")
+
+
+def uncertainty(samples: DataFrame, duration: int, workspaces: DataFrame | None = None) -> DataFrame:
+    """unobserved edges and runs of uncertain samples of each workspace; of equal bounds the last reason.
+
+    Of the workspaces (ws) that are named, one without a sample is unobserved as a whole.
+    """
     resolved = F.col("state") != "uncertain"
     ends = samples.groupBy("ws").agg(F.min(F.when(resolved, F.col("t"))).alias("lo"), F.max(F.when(resolved, F.col("t"))).alias("hi"))
     edge = lambda name, s, e, ok: ends.where(ok).select("ws", s.cast("long").alias("start"), e.cast("long").alias("end"), F.lit(name).alias("reason"))
@@ -82,15 +90,25 @@ def uncertainty(samples: DataFrame, duration: int) -> DataFrame:
     runs = s.where("state = 'uncertain'").groupBy("ws", "_k").agg(F.min_by("_p", F.struct("t", "n")).alias("start"), F.max_by("_q", F.struct("t", "n")).alias("end"))
     runs = runs.select("ws", F.coalesce("start", zero).cast("long").alias("start"), F.coalesce("end", whole).cast("long").alias("end"), F.lit("presence_unresolved").alias("reason"), (F.col("_k") + 2).cast("int").alias("_o"))
     runs = runs.where("start < end").join(ends.where("lo is not null").select("ws"), "ws", "left_semi")
-    return out.unionByName(runs).groupBy("ws", "start", "end").agg(F.max_by("reason", "_o").alias("reason"))
+    out = out.unionByName(runs).groupBy("ws", "start", "end").agg(F.max_by("reason", "_o").alias("reason"))
+    if workspaces is None:
+        return out
+    none = unobserved(samples, workspaces).select("ws", zero.cast("long").alias("start"), whole.cast("long").alias("end"), F.lit("no_presence_observations").alias("reason"))
+    return out.unionByName(none)
+
 
+def follow_ups(samples: DataFrame, duration: int, workspaces: DataFrame | None = None) -> DataFrame:
+    """instants to look at: the middles of unobserved edges and every uncertain sample; all of them if none is resolved.
 
-def follow_ups(samples: DataFrame, duration: int) -> DataFrame:
-    """instants to look at: the middles of unobserved edges and every uncertain sample; all of them if none is resolved."""
+    Of the workspaces (ws) that are named, one without a sample is looked at in the middles of its four quarters.
+    """
     resolved = F.col("state") != "uncertain"
     ends = samples.groupBy("ws").agg(F.min(F.when(resolved, F.col("t"))).alias("lo"), F.max(F.when(resolved, F.col("t"))).alias("hi"))
     out = samples.where(~resolved).select("ws", F.col("t").cast("double").alias("t"))
     out = out.unionByName(ends.where("lo > 0").select("ws", (F.col("lo") / 2).alias("t"))).unionByName(ends.where(F.col("hi") < duration).select("ws", ((F.col("hi") + duration) / 2).alias("t")))
+    if workspaces is not None:
+        quarter = F.explode(F.array(*(F.lit((i + 0.5) * duration / 4) for i in range(4))))
+        out = out.unionByName(unobserved(samples, workspaces).select("ws", quarter.alias("t")))
     return out.distinct()
 
 

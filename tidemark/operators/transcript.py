@@ -51,9 +51,14 @@ def speakers(segments: DataFrame, turn: DataFrame, bucket_ms: int = 60_000) -> D
     return s.select("ws", "id").join(best, ["ws", "id"], "left")
 
 
-def contamination(segments: DataFrame, hotword: str) -> DataFrame:
-    """Per workspace share of segments with a hotword, of distinct texts, and the verdict."""
-    out = segments.groupBy("ws").agg(F.count("*").alias("n"), F.count_if(F.contains(F.lower("text"), F.lit(hotword))).alias("hits"), F.count_distinct("text").alias("texts"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
+def contamination(segments: DataFrame, hotwords: str) -> DataFrame:
+    """Per workspace the segments in which any of the hotwords stands, as it is written, the distinct texts, and the
+    verdict: five segments or more, half of them with a hotword, three in ten distinct at most. Without hotwords none has one."""
+    hit = F.lit(False)
+    for term in hotwords.split():
+        hit = hit | F.contains("text", F.lit(term))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    out = segments.groupBy("ws").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_distinct(text).alias("texts"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
     bad = (F.col("n") >= 5) & (F.col("hits") / F.col("n") >= 0.5) & (F.col("texts") / F.col("n") <= 0.3)
     return out.withColumn("contaminated", bad)
 

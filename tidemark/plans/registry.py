@@ -145,10 +145,10 @@ def word_alignment_asof(spark, d):
     return intervals.asof(points, ends, ["ws"], "t_ms", "end_ms", "last_word")
 
 
-@query("contamination", f"""WITH {TURNS}, a AS (SELECT ws, count(*) AS n, count(*) FILTER (contains(lower(text), 'the')) AS hits, count(DISTINCT text) AS texts, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms FROM seg GROUP BY ws)
+@query("contamination", f"""WITH {TURNS}, a AS (SELECT ws, count(*) AS n, count(*) FILTER (contains(text, 'Th') OR contains(text, 'ation') OR contains(text, 'que')) AS hits, count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS texts, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms FROM seg GROUP BY ws)
 SELECT *, n >= 5 AND hits / n >= 0.5 AND texts / n <= 0.3 AS contaminated FROM a""")
 def contamination(spark, d):
-    return transcript.contamination(fx.turns(spark, d), "the")
+    return transcript.contamination(fx.turns(spark, d), "Th ation que")
 
 
 @query("longest_silence", f"""WITH {TURNS}, g AS (SELECT ws, start_ms - coalesce(max(end_ms) OVER (PARTITION BY ws ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM seg) SELECT ws, greatest(max(gap), 0) AS longest_ms FROM g GROUP BY ws""")
@@ -284,9 +284,17 @@ def image_merge(spark, d):
     return corpus.merged_images(fx.images(spark, d))
 
 
-@query("image_counts", f"WITH {IMAGES} SELECT count(*) AS images, count(*) FILTER (tracked) AS tracked, count(score) AS scored, count(*) FILTER (causes > 1) AS multi_cause, count(*) FILTER (NOT tracked) AS inventory_only FROM im")
+@query("image_counts", f"""WITH {IMAGES}, {LOG}, r AS (SELECT image_id, 'frames/' || image_id AS path, score IS NOT NULL AS ex, tracked, CASE WHEN tracked THEN causes ELSE 0 END AS causes FROM im),
+lk AS (SELECT DISTINCT CASE WHEN status = 'verified' THEN 'frames/' || id ELSE id END AS image FROM acc)
+SELECT count(*) AS images, count(*) FILTER (ex) AS available_images, count(*) FILTER (tracked) AS tracked_images, count(*) FILTER (NOT tracked) AS legacy_untracked_images,
+  count(*) FILTER (path IN (SELECT image FROM lk) OR image_id::VARCHAR IN (SELECT image FROM lk)) AS checkpoint_linked_images, coalesce(sum(causes), 0)::BIGINT AS causal_edges, count(*) FILTER (causes = 0) AS unknown_inventory_links FROM r""")
 def image_counts(spark, d):
-    return corpus.image_counts(corpus.merged_images(fx.images(spark, d)))
+    """A scored image is there; verified checkpoints link by path, the others by id."""
+    im = corpus.merged_images(fx.images(spark, d))
+    records = im.select("image_id", F.concat(F.lit("frames/"), F.col("image_id").cast("string")).alias("path"), F.col("score").isNotNull().alias("exists"), "tracked", F.when(F.col("tracked"), F.col("causes")).otherwise(0).alias("causes"))
+    log = ledger.guarded(ledger.validated(fx.ledger(spark, d), DURATION).where("code is null")).where("accepted")
+    links = log.select(F.when(F.col("status") == "verified", F.concat(F.lit("frames/"), "id")).otherwise(F.col("id")).alias("image"))
+    return corpus.image_counts(records, links)
 
 
 def access_log(spark, d):

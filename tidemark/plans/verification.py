@@ -220,6 +220,10 @@ def departures(spark, d):
     return series.departures(samples(spark, d))
 
 
+def nations(spark, d):
+    return fx.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ws"))
+
+
 UNSURE = f"""{SAMPLES}, e AS (SELECT ws, min(t) FILTER (state <> 'uncertain') AS lo, max(t) FILTER (state <> 'uncertain') AS hi FROM sm GROUP BY ws),
 r AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q, CASE WHEN state = 'uncertain' AND coalesce(lag(state) OVER w, '') <> 'uncertain' THEN 1 ELSE 0 END AS nw FROM sm WINDOW w AS (PARTITION BY ws ORDER BY t, n)),
 k AS (SELECT *, sum(nw) OVER (PARTITION BY ws ORDER BY t, n ROWS UNBOUNDED PRECEDING) AS k FROM r),
@@ -228,16 +232,16 @@ a AS (SELECT ws, 0 AS s, {HOURS} AS e, 'presence_unresolved' AS reason, 0 AS o F
   UNION ALL SELECT u.ws, s, u.e, 'presence_unresolved', k + 2 FROM u JOIN e ON e.ws = u.ws WHERE lo IS NOT NULL AND s < u.e)"""
 
 
-@query("uncertain_intervals", f'WITH {UNSURE} SELECT ws, s AS "start", e AS "end", arg_max(reason, o) AS reason FROM a GROUP BY ws, s, e')
+@query("uncertain_intervals", f'WITH {UNSURE} SELECT ws, s AS "start", e AS "end", arg_max(reason, o) AS reason FROM a GROUP BY ws, s, e UNION ALL SELECT n_nationkey, 0, {HOURS}, \'no_presence_observations\' FROM nation WHERE n_nationkey NOT IN (SELECT ws FROM sm)')
 def uncertain_intervals(spark, d):
-    """F13."""
-    return series.uncertainty(samples(spark, d), HOURS)
+    """a nation is a workspace, and some have no samples."""
+    return series.uncertainty(samples(spark, d), HOURS, nations(spark, d))
 
 
-@query("follow_ups", f"WITH {UNSURE} SELECT ws, CAST(t AS DOUBLE) AS t FROM sm WHERE state = 'uncertain' UNION SELECT ws, lo / 2 FROM e WHERE lo > 0 UNION SELECT ws, (hi + {HOURS}) / 2 FROM e WHERE hi < {HOURS}")
+@query("follow_ups", f"WITH {UNSURE} SELECT ws, CAST(t AS DOUBLE) AS t FROM sm WHERE state = 'uncertain' UNION SELECT ws, lo / 2 FROM e WHERE lo > 0 UNION SELECT ws, (hi + {HOURS}) / 2 FROM e WHERE hi < {HOURS} UNION SELECT n_nationkey, (i + 0.5) * {HOURS} / 4 FROM nation, range(4) r(i) WHERE n_nationkey NOT IN (SELECT ws FROM sm)")
 def follow_ups(spark, d):
     """F13."""
-    return series.follow_ups(samples(spark, d), HOURS)
+    return series.follow_ups(samples(spark, d), HOURS, nations(spark, d))
 
 
 # -- boundaries and series
