@@ -1 +1 @@
-from . import authoring, handoff, knowledge, searching, streams, verification  # noqa: F401  (their queries join the registry)
+from . import authoring, handoff, knowledge, projections, searching, streams, verification  # noqa: F401  (their queries join the registry)
