@@ -20,6 +20,12 @@ def union(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     return marked.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_i")
 
 
+def union_within(df: DataFrame, by: list[str], start: str, end: str, whole: Column) -> DataFrame:
+    """The union of what spans have within [0, whole]; spans wholly outside have nothing."""
+    low, high = F.greatest(F.col(start), F.lit(0).cast(df.schema[start].dataType)), F.least(F.col(end), whole)
+    return union(df.select(*by, low.alias(start), high.alias(end)).where(F.col(start) <= F.col(end)), by, start, end)
+
+
 def gaps(df: DataFrame, by: list[str], start: str, end: str, whole: Column, least: Column) -> DataFrame:
     """uncovered stretches of [0, whole) of more than `least`, the tail included; groups with spans only."""
     order = W.partitionBy(*by).orderBy(start, end)

@@ -12,6 +12,8 @@ from . import intervals
 TAIL_MS, ROOM, STEP_DB, JUMP = 120, 2.5, 12.0, 0.75
 #: Fixed values of strips: longest window and widest cell in seconds, cells at most.
 TILE, CELL, CELLS = 112, 7, 16
+#: The tail in which an end card is looked for, what is left out at its end, and its samples.
+TAIL, TAIL_REST, TAIL_SAMPLES = 2500, 200, 5
 
 
 def aligned(points: DataFrame, words: DataFrame) -> DataFrame:
@@ -163,6 +165,22 @@ def end_card(frames: DataFrame, least_luma: float = 16.0) -> DataFrame:
     return f.groupBy("ws").agg(F.max_by("t_ms", F.struct(F.coalesce("alike", F.lit(-1.0)), "t_ms")).alias("t_ms"), F.max("alike").alias("alike"))
 
 
+def tail_samples(media: DataFrame, limit: str | None = None) -> DataFrame:
+    """the times (ws, t_ms) at which an end card is looked for: five evenly over the last 2.5 s of media (ws, duration_ms)
+    but for 0.2 s, or before `limit`, a column of the last time allowed; nothing for media without length."""
+    last = F.greatest(F.col("duration_ms") - TAIL_REST, F.lit(0))
+    last = F.least(last, F.col(limit)) if limit else last  # a null limit allows all
+    first = F.greatest(F.col("_last") - TAIL, F.lit(0))
+    at = F.transform(F.sequence(F.lit(0), F.lit(TAIL_SAMPLES - 1)), lambda k: F.least(F.round(first + (F.col("_last") - first) * k / (TAIL_SAMPLES - 1)).cast("long"), F.col("_last")))
+    return media.where("duration_ms > 0").withColumn("_last", last.cast("long")).where("_last >= 0").select("ws", F.explode(F.array_distinct(at)).alias("t_ms"))
+
+
+def tail_card(media: DataFrame, frames: DataFrame, least_luma: float = 16.0) -> DataFrame:
+    """the end card among the frames (ws, t_ms, luma, look) that stand at the tail's samples: (ws, t_ms of the sample, alike)."""
+    seen = intervals.asof(tail_samples(media), frames.select("ws", "t_ms", F.struct("luma", "look").alias("seen")), ["ws"], "t_ms", "t_ms", "seen")
+    return end_card(seen.select("ws", "t_ms", "seen.luma", "seen.look"), least_luma)
+
+
 def inherited(log: DataFrame) -> DataFrame:
     """evidence of each revision (ws, id, line_no, has, evidence): a row without the field has that of the last row with it."""
     order = W.partitionBy("ws", "id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)

@@ -61,6 +61,41 @@ def beat_offsets(joins: DataFrame, period_ms: int) -> DataFrame:
     return d.groupBy("seq").agg(F.max("_d").alias("max_ms"), F.expr("percentile_disc(0.9) within group (order by _d)").cast("long").alias("p90_ms"), F.count("*").alias("n"))
 
 
+def scenes_by_rate(series: DataFrame, scale: float, window_ms: int = 2000) -> DataFrame:
+    """hits by score, or by three times the mean of the scores of the window before; (ws, i, t_ms, score).
+
+    The window holds as many scores as two seconds have by the distance of the first two (i from 1 without gaps; 40 ms if
+    they fall together), one at least; the first score has none. Window sums are differences of two running sums, fetched by place.
+    """
+    s = series.select("ws", "i", "t_ms", F.round(F.col("value") / scale, 6).alias("score"))
+    first = s.where("i <= 2").groupBy("ws").agg((F.max("t_ms") - F.min("t_ms")).alias("_dt"))
+    n = F.greatest(F.lit(1), F.bround(window_ms / F.when(F.col("_dt") == 0, 40).otherwise(F.col("_dt")))).cast("long")
+    before = W.partitionBy("ws").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    run = s.withColumn("_c", F.coalesce(F.sum((F.col("score") * 1_000_000).cast("long")).over(before), F.lit(0)))
+    at = run.join(first, "ws").withColumn("_from", F.greatest(F.lit(1), F.col("i") - n))
+    back = run.select("ws", F.col("i").alias("_from"), F.col("_c").alias("_b"))
+    mean = F.when(F.col("i") > 1, (F.col("_c") - F.col("_b")) / (F.col("i") - F.col("_from")) / 1_000_000.0)
+    hit = (F.col("score") >= SCENE) | F.coalesce((F.col("score") >= FLOOR) & (F.col("score") >= TIMES * mean), F.lit(False))
+    return at.join(back, ["ws", "_from"]).where(hit).select("ws", "i", "t_ms", "score")
+
+
+def cadence(frames: DataFrame, streams: DataFrame, num: int, den: int) -> DataFrame:
+    """What the stream's header (ws, start_pts, nb_frames, duration_ts; the last two may be null) and the decoded frames
+    (ws, idx, pts, duration) agree on: first time, count, length and lattice; proven if all do. Media without frames prove nothing.
+    """
+    own = frames.groupBy("ws").agg(F.min_by("pts", "idx").alias("_first"), F.count("*").alias("_n"), F.max_by(F.col("pts") + F.col("duration"), "idx").alias("_end"))
+    even = lattice(frames.select("ws", "idx", "pts"), num, den).select("ws", "constant")
+    j = streams.join(own, "ws", "left").join(even, "ws", "left")
+    agree = {
+        "first_ok": F.col("_first") == F.col("start_pts"),
+        "count_ok": F.col("nb_frames").isNull() | (F.col("nb_frames") == F.col("_n")),
+        "length_ok": F.col("duration_ts").isNull() | (F.col("_end") - F.col("_first") == F.col("duration_ts")),
+        "lattice_ok": F.col("constant"),
+    }
+    out = j.select("ws", *(F.coalesce(F.col("_n").isNotNull() & c, F.lit(False)).alias(k) for k, c in agree.items()))
+    return out.withColumn("proven", F.col("first_ok") & F.col("count_ok") & F.col("length_ok") & F.col("lattice_ok"))
+
+
 def lattice(frames: DataFrame, num: int, den: int) -> DataFrame:
     """Whether all frame times (ws, idx, pts) lie on one lattice of num/den units, by integer products."""
     order = W.partitionBy("ws").orderBy("idx")

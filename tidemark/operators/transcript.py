@@ -41,6 +41,35 @@ def resegmented(word: DataFrame, pause_ms: int = 1500) -> DataFrame:
     return marked.groupBy("ws", "seg").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"))
 
 
+def split_segments(segments: DataFrame, word: DataFrame, pause_ms: int = 1500, slack: int = 10, bucket: int = 10_000) -> DataFrame:
+    """F16: segments (ws, id, start_ms, end_ms, text, conf) split where the pause between two of their words (ws, n, start_ms,
+    end_ms, word, p; n their order) is longer than 1.5 s; (ws, id, start_ms, end_ms, text, conf), numbered anew from 0.
+
+    A word belongs to each segment in which it starts, but for 10 ms at both ends. A segment without a pause stays as it is;
+    a part has its words' text and the mean of their p (null counts as 0) to three places, or the segment's conf if its first
+    word has no p. Words meet segments by time buckets; pauses are looked for within a segment alone.
+    """
+    s = segments.select("ws", "id", "start_ms", "end_ms", "text", "conf")
+    lo, hi = F.col("s.start_ms") - slack, F.col("s.end_ms") + slack
+    own = s.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start_ms") - slack) / bucket), F.floor((F.greatest("start_ms", "end_ms") + slack) / bucket))))
+    w = word.select("ws", "n", F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), "word", "p", F.floor(F.col("start_ms") / bucket).alias("_b"))
+    j = own.alias("s").join(w, ["ws", "_b"]).where((F.col("w0") >= lo) & (F.col("w0") < hi)).select("ws", "id", "conf", "n", "w0", "w1", "word", "p")
+    order = W.partitionBy("ws", "id").orderBy("n")
+    opens = F.when(F.coalesce(F.col("w0") - F.lag("w1").over(order) > pause_ms, F.lit(False)), 1).otherwise(0)
+    marked = j.withColumn("_o", opens).withColumn("part", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    told = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), ""))
+    mean = F.round(F.sum(F.coalesce(F.round(F.col("p") * 1_000_000).cast("long"), F.lit(0))) / 1_000_000.0 / F.count("*"), 3)
+    parts = marked.groupBy("ws", "id", "part").agg(
+        F.min_by("w0", "n").alias("start_ms"), F.max_by("w1", "n").alias("end_ms"), told.alias("text"),
+        F.when(F.min_by(F.col("p").isNotNull(), "n"), mean).otherwise(F.first("conf")).alias("conf"),
+    )
+    split = marked.groupBy("ws", "id").agg(F.max("part").alias("_m")).where("_m > 0").select("ws", "id")
+    kept = s.join(split, ["ws", "id"], "left_anti").withColumn("part", F.lit(0).cast("long"))
+    out = kept.unionByName(parts.join(split, ["ws", "id"], "left_semi"))
+    again = F.row_number().over(W.partitionBy("ws").orderBy("id", "part")).cast("long") - 1
+    return out.withColumn("id", again).select("ws", "id", "start_ms", "end_ms", "text", "conf")
+
+
 def speakers(segments: DataFrame, turn: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
     """Each segment's speaker by largest overlap with a turn; of equal ones the earlier turn; null without."""
     t = turn.select("ws", F.col("start_ms").alias("rstart"), F.col("end_ms").alias("rend"), F.col("speaker").alias("turn_speaker"))

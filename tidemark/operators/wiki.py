@@ -104,6 +104,23 @@ def index_consistency(catalog: DataFrame, indexed: DataFrame) -> DataFrame:
     return out.withColumn("stale", (F.col("missing") > 0) | (F.col("orphaned") > 0))
 
 
+def published(catalog: DataFrame, indexed: DataFrame, documents: DataFrame) -> DataFrame:
+    """The consistency of an index with what its document (ws, declared) says of itself; (ws, doc_present, catalog,
+    indexed, declared, missing, orphaned, stale) for each workspace of any of the three.
+
+    Without a document nothing is indexed, and it is stale if the catalogue has images; a document that declares no number, or
+    another than the catalogue's, is stale. Of several documents of a workspace the largest number counts.
+    """
+    doc = documents.groupBy("ws").agg(F.max("declared").cast("long").alias("declared"), F.lit(True).alias("_d"))
+    told = indexed.join(doc.select("ws"), "ws", "left_semi")
+    counts = index_consistency(catalog, told).drop("stale")
+    j = counts.join(doc, "ws", "full_outer")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("catalog", "indexed", "missing", "orphaned")]
+    j = j.select("ws", F.coalesce("_d", F.lit(False)).alias("doc_present"), *zero, "declared")
+    off = (F.col("missing") > 0) | (F.col("orphaned") > 0) | F.coalesce(F.col("declared") != F.col("catalog"), F.lit(True))
+    return j.withColumn("stale", F.when(F.col("doc_present"), off).otherwise(F.col("catalog") > 0))
+
+
 def backlinks(images: DataFrame, references: DataFrame) -> DataFrame:
     """Checkpoints that refer to each image (ws, image) by its path or its id (ws, ref, id)."""
     by = images.select("ws", "image", F.explode(F.array_distinct(F.array("image", "path"))).alias("ref"))
