@@ -208,3 +208,67 @@ def canonical_json(text: pd.Series) -> pd.Series:
             return None
 
     return text.map(one)
+
+
+def tag(text: Column) -> Column:
+    """A tag without white space."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", "-")
+
+
+def ellipsized(text: Column, most: int = 40) -> Column:
+    """At most so many characters, cut behind a word if that leaves more than half, with an ellipsis."""
+    cut = F.substring(text, F.lit(1), F.lit(most))
+    space = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1  # characters before the last space, -1 without
+    told = F.when(space > most // 2, F.substring(cut, F.lit(1), space)).otherwise(cut)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(told, F.lit(" ,·—-(")), F.lit("…")))
+
+
+#: What a file's stem must not hold, and how long it may be in characters and in bytes.
+UNSAFE_STEM = r'[/\\:*?"<>|\[\]#^\x00-\x1f]+'
+STEM_CHARS, STEM_BYTES = 80, 245
+
+
+def doc_stem(title: Column) -> Column:
+    """A stem from a title, '' for null: no unsafe characters, no outer spaces or points, cut behind a word if that leaves
+    half of what fits."""
+    s = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), UNSAFE_STEM, " "), r"(?U)\s+", " "), F.lit(" ."))
+
+    def behind_word(cut):
+        head = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
+        return F.btrim(F.when((head >= 0) & (head >= F.floor(F.length(cut) / 2)), F.substring(cut, F.lit(1), head)).otherwise(cut))
+
+    def bounded(v):
+        fits = F.filter(F.sequence(F.lit(0), F.lit(STEM_CHARS)), lambda n: F.octet_length(F.substring(v, F.lit(1), n)) <= STEM_BYTES)
+        return F.when((F.length(v) <= STEM_CHARS) & (F.octet_length(v) <= STEM_BYTES), v).otherwise(_once(F.substring(v, F.lit(1), F.array_max(fits)), behind_word))
+
+    return _once(s, bounded)
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), where value is computed once for a row however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def code_span(text: Column) -> Column:
+    """A Markdown code span whose fence is longer than any run of back-ticks within."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("(`+)")), lambda r: F.length(r))
+    fence = F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+    pad = F.when(text.startswith("`") | text.endswith("`"), " ").otherwise("")
+    return F.concat(fence, pad, text, pad, fence)
+
+
+#: Characters of a diagram's label and how they are written, the ampersand first.
+LABEL_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\\", "&#92;"), ("[", "&#91;"), ("]", "&#93;"), ("|", "&#124;"), ("`", "&#96;"), ("\n", "&#10;")]
+
+
+def diagram_label(text: Column) -> Column:
+    """Text within a quoted label of a diagram; line ends of any kind are one character."""
+    out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    for a, b in LABEL_ESCAPES:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def url_folder(url: Column) -> Column:
+    """The folder of media fetched from an address."""
+    return F.concat(F.lit("url-"), F.substring(F.md5(url), 1, 8))
