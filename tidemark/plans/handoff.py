@@ -135,8 +135,10 @@ def _size_sql(n: str) -> str:
 @query("human_sizes", f"WITH b AS (SELECT o_orderkey, (o_orderkey * o_orderkey * o_custkey) % 5000000000000 AS n FROM orders) SELECT o_orderkey, {_size_sql('n')} AS size FROM b")
 def human_sizes(spark, d):
     """K08."""
-    o = fx.table(spark, d, "orders")
-    return o.select("o_orderkey", fn.human_size((F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")) % 5_000_000_000_000).alias("size"))
+    most = 5_000_000_000_000
+    part = lambda c: (c % most).cast("decimal(13,0)")  # noqa: E731  # the product of two has 26 digits; that of the keys themselves soon no longer fits a long
+    k, c = part(F.col("o_orderkey")), part(F.col("o_custkey"))
+    return fx.table(spark, d, "orders").select("o_orderkey", fn.human_size((part(k * k) * c % most).cast("long")).alias("size"))
 
 
 _PARTS = "[" + ", ".join(f"'{p}'" for p in fn.PARTICLES) + "]"
