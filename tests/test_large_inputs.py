@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from tidemark.operators import qualifiers
 from tidemark.plans import registry
 
 
@@ -14,3 +15,16 @@ def test_sizes_of_keys_whose_product_exceeds_a_long(spark, tmp_path):
     duckdb.sql("CREATE OR REPLACE TEMP TABLE b AS SELECT unnest($1) AS o_orderkey, unnest($2) AS n", params=[list(n), list(n.values())])
     sql = registry.SQL["human_sizes"].split(" SELECT o_orderkey, CASE", 1)[1]
     assert got == dict(duckdb.sql(f"SELECT o_orderkey, CASE{sql}").fetchall())
+
+
+def test_words_of_a_long_line_do_not_carry_it(spark):
+    ledger = [("w", "alpha tion. beta"), ("w", "alphabet tion"), ("v", "추진 후보tion")]
+    told = [("w", " ".join(f"alphabet{i} alp" for i in range(2000))), ("w", "beta\n**alphabets** tion, (alphas)"), ("w", "beta\n**alphabets** tion, (alphas)"), ("v", "추진은 alpha")]
+    s = lambda rows: spark.createDataFrame(rows, "ws string, text string")
+    df = qualifiers.dropped_qualifiers(s(ledger), s(told), ("tion",))
+    got = sorted(tuple(x) for x in df.collect())
+    head = told[0][1][:120]
+    assert got == sorted([("w", 1, "alpha", head), ("w", 1, "alphabet", head), ("w", 2, "alpha", "**alphabets** tion, (alphas)"), ("v", 1, "추진", "추진은 alpha")])
+    exchanged = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression [ws" in x and "key" in x]
+    met = df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[1]
+    assert exchanged and "line#" not in met.splitlines()[2]  # what is dealt by words has no line

@@ -101,6 +101,8 @@ def alias_groups(spark, d):
 
 
 MARKERS = ("tion", "cht", "osa")
+#: So many ids at most are sent to every executor.
+FEW = 1_000_000
 _MARKED = " OR ".join(f"contains(clause, '{m}')" for m in MARKERS)
 
 
@@ -118,6 +120,7 @@ def dropped_qualifiers(spark, d):
     """Labelled documents as the ledger of their source, the others as its narrative."""
     x = fx.table(spark, d, "documents").select("doc_id", F.col("source").alias("ws"), "text")
     known = fx.table(spark, d, "labels").select("doc_id").distinct()
+    known = F.broadcast(known) if known.count() <= FEW else known  # more are shuffled, and the texts with them
     return qualifiers.dropped_qualifiers(x.join(known, "doc_id", "left_semi").select("ws", "text"), x.join(known, "doc_id", "left_anti").select("ws", "text"), MARKERS)
 
 
