@@ -1,9 +1,15 @@
 """Queries on keys, lines and corpora larger than the driver's tables have them."""
 
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import qualifiers
+from tidemark.operators import qualifiers, search
 from tidemark.plans import registry
 
 
@@ -28,3 +34,33 @@ def test_words_of_a_long_line_do_not_carry_it(spark):
     exchanged = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression [ws" in x and "key" in x]
     met = df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[1]
     assert exchanged and "line#" not in met.splitlines()[2]  # what is dealt by words has no line
+
+
+def test_postings_are_a_row_a_block_and_count_as_texts_do(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abÄé가z😀") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 60))) for _ in range(400)] + ["ab", "aaaa aaa", "a"]
+    empty = spark.createDataFrame([], "ws long, start long, end long, text string")
+    screen = spark.createDataFrame([(i % 7, i, i + 1, t) for i, t in enumerate(texts)], "ws long, start long, end long, text string")
+    search.sync(search.collected(empty, empty.withColumn("id", F.lit(1)), screen), f"{tmp_path}/index")
+    index = search.Index(spark, f"{tmp_path}/index")
+    for term in ("aba", "Äéa", "zaba", "aaa", "😀가z", "b a"):
+        want = {i: n for i, t in enumerate(texts) if (n := sum(t.lower().startswith(term.lower(), j) for j in range(len(t))))}
+        assert {x.start: x.f0 for x in index.by_grams([term], len(texts), True).collect()} == want
+    for term in ("ab", "가", "zé"):
+        want = {i: n for i, t in enumerate(texts) if (n := sum(w.startswith(search.fold(term)) for w in search.words_of(t)))}
+        assert {x.start: x.f0 for x in index.by_words([term], len(texts), True).collect()} == want
+    blocks = spark.read.parquet(f"{tmp_path}/index/{index.gens[0]}/grams")
+    assert blocks.groupBy("block", "key").count().where("count > 1").count() == 0  # before, a row for each document and trigram
+    monkeypatch.setattr(search, "BLOCK", 50)
+    rows = pa.RecordBatch.from_pylist([dict(doc=i, ws=0, source="s", family="f", start=i, end=i, is_window=False, text=t) for i, t in enumerate(texts)])
+    monkeypatch.setattr(search.TaskContext, "get", classmethod(lambda _: type("T", (), {"partitionId": lambda self: 3})()))
+    got = [x for b in search._posted("grams")(iter([rows])) for x in b.to_pylist()]
+    assert sum(len(x["places"]) for x in got if not x["key"]) == len(texts) and len({x["block"] for x in got}) > 50
+    assert sum(len(search.unpacked(x["data"])) for x in got if x["key"]) == sum(max(len(t) - 2, 0) for t in texts)
+
+
+@pytest.mark.parametrize("places", [[0], [127, 128, 129, 16384, 2**21, 2**35], list(range(0, 10**6, 997))])
+def test_places_are_packed_and_come_back(places):
+    at = np.array(places * 2, np.uint64)
+    data, begin = search.packed(np.array([0, len(places)]), at)
+    assert [search.unpacked(data[begin[i] : begin[i + 1]].tobytes()).tolist() for i in (0, 1)] == [places, places]
